@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("changes", "stalls")
+SECTIONS = ("changes", "stalls", "ledger")
 
 
 def load_all() -> None:
