@@ -1,7 +1,7 @@
 """Seeded resampling with replacement, as joins and partial sums.
 
-Draw ``j`` of replicate ``r`` at position ``i`` is taken from ``md5("r-i")``, so a result
-can be recomputed anywhere, whatever the partitioning.
+The draw of replicate ``r`` at position ``i`` is a fixed mix of (r, i), so a result can
+be recomputed anywhere, whatever the partitioning.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hindsight.functions.mixing import mix32
 from hindsight.operators.ordered import position
 from hindsight.session import cut_lineage
 
@@ -43,7 +44,7 @@ def replicate_sums(
         "_from", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(BLOCK)))
     )
     upto = F.least(F.col("_from") + (BLOCK - 1), F.lit(reps - 1))
-    draw = F.conv(F.substring(F.md5(F.concat_ws("-", "rep", "_i")), 1, 8), 16, 10).cast("long")
+    draw = mix32(F.col("rep"), F.col("_i"))
     picked = (
         blocks.repartition(tasks, "_from", "_i")
         .select(*groups, "n", "_i", F.explode(F.sequence(F.col("_from"), upto)).alias("rep"))
@@ -61,16 +62,16 @@ def percentile_interval(
     replicates: DataFrame, groups: Sequence[str], stats: Mapping[str, Column], lo: int, hi: int
 ) -> DataFrame:
     """Sorted positions ``lo`` and ``hi`` of every statistic over the replicates."""
-    out = None
-    for name, stat in stats.items():
-        at = F.row_number().over(W.partitionBy(*groups).orderBy("_v")) - 1
-        ranked = replicates.select(*groups, stat.alias("_v")).withColumn("_at", at)
-        ends = ranked.where(F.col("_at").isin(lo, hi)).groupBy(*groups).agg(
-            F.max(F.when(F.col("_at") == lo, F.col("_v"))).alias(f"{name}_lo"),
-            F.max(F.when(F.col("_at") == hi, F.col("_v"))).alias(f"{name}_hi"),
-        )
-        out = ends if out is None else out.join(ends, list(groups))
-    return out
+    tall = F.array(*[F.struct(F.lit(n).alias("_stat"), v.cast("double").alias("_v")) for n, v in stats.items()])
+    at = F.row_number().over(W.partitionBy(*groups, "_stat").orderBy("_v")) - 1
+    ranked = replicates.select(*groups, F.inline(tall)).withColumn("_at", at).where(F.col("_at").isin(lo, hi))
+
+    def end(name: str, place: int) -> Column:
+        return F.max(F.when((F.col("_stat") == name) & (F.col("_at") == place), F.col("_v")))
+
+    return ranked.groupBy(*groups).agg(
+        *[end(n, at_).alias(f"{n}_{side}") for n in stats for side, at_ in (("lo", lo), ("hi", hi))]
+    )
 
 
 def bounds_of(reps: int, alpha: float = 0.05) -> tuple[int, int]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hindsight.operators.ordered import first_n, paged, position
 from hindsight.operators.resample import REPS, bootstrap_ci, percentile_interval, replicate_sums
+from hindsight.session import cut_lineage
 
 RATE = "decimal(18,9)"
 EPISODE = ["task", "arm", "seed", "tokens", "queries", "seconds"]
@@ -82,6 +83,7 @@ def paired_summary(pairs: DataFrame, groups: Sequence[str] = (), reps: int = REP
     """Mean of both arms and of the per-task difference, with intervals over tasks."""
     if not groups:
         return paired_summary(pairs.withColumn("_all", F.lit(1)), ["_all"], reps).drop("_all")
+    pairs = cut_lineage(pairs)
     means = pairs.groupBy(*groups).agg(F.count("*").alias("paired"), _mean("a"), _mean("b"), _mean("diff"))
     ci = bootstrap_ci(pairs, groups, "task", ["a", "b", "diff"], reps)
     return means.join(ci, list(groups))
@@ -107,7 +109,7 @@ def _task_tokens(rows: DataFrame, arms: Sequence[str]) -> DataFrame:
 
 def token_ratio(rows: DataFrame, arms: Sequence[str], reps: int = REPS) -> DataFrame:
     """Ratio of the arms' summed per-task means, resampled over tasks."""
-    pairs = _task_tokens(rows, arms).withColumn("_all", F.lit(1))
+    pairs = cut_lineage(_task_tokens(rows, arms).withColumn("_all", F.lit(1)))
     ratio = F.sum("a").cast("double") / F.sum("b").cast("double")
     point = pairs.groupBy("_all").agg(F.count("*").alias("tasks"), ratio.alias("ratio"), F.count_if(F.col("a") < F.col("b")).alias("below"))
     sums = replicate_sums(pairs, ["_all"], "task", ["a", "b"], reps, scale=6)

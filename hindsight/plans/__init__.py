@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("changes", "stalls", "ledger")
+SECTIONS = ("changes", "stalls", "ledger", "runlogs")
 
 
 def load_all() -> None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hindsight.functions.mixing import mix32_sql
 from hindsight.operators import study
 from hindsight.operators.resample import bootstrap_ci
 from hindsight.plans.registry import query, table
@@ -59,7 +60,7 @@ def boot(source: str, group: str, cols: str) -> str:
     return f"""
 , vals AS (SELECT {group} AS grp, {cols}, row_number() OVER (PARTITION BY {group} ORDER BY task) - 1 AS slot,
                   count(*) OVER (PARTITION BY {group}) AS n FROM {source}),
-draws AS (SELECT grp, n, r.rep, ('0x' || substr(md5(r.rep || '-' || slot), 1, 8))::BIGINT % n AS j
+draws AS (SELECT grp, n, r.rep, {mix32_sql('r.rep', 'slot')} % n AS j
           FROM vals CROSS JOIN (SELECT unnest(range(10000)) AS rep) r),
 sums AS (SELECT d.grp, d.rep, d.n, {sums} FROM draws d JOIN vals v ON v.grp = d.grp AND v.slot = d.j GROUP BY d.grp, d.rep, d.n)
 """
