@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("changes", "stalls", "ledger", "runlogs")
+SECTIONS = ("changes", "stalls", "ledger", "runlogs", "texts")
 
 
 def load_all() -> None:
