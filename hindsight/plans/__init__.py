@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("changes", "stalls", "ledger", "runlogs", "texts")
+SECTIONS = ("changes", "stalls", "ledger", "runlogs", "texts", "graphs")
 
 
 def load_all() -> None:
