@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindsight.functions.values import hex_text
-from hindsight.operators.ordered import asof_join, position, previous, running
+from hindsight.operators.ordered import asof_join, previous, running
+from hindsight.session import cut_lineage
 
 ID = ["run_id", "signal_id"]
 
@@ -121,16 +122,14 @@ def rising_edges(wave: DataFrame, span: int) -> DataFrame:
 
 def cycle_index_edges(wave: DataFrame, span: int) -> DataFrame:
     """Edges numbered from 0; ``period`` only where all gaps are equal."""
-    edges = rising_edges(wave, span)
-    gaps = previous(edges, ID, ["time", "seq"], span, {"prev_time": "time"})
-    gap = F.col("time") - F.col("prev_time")
-    period = gaps.groupBy(*ID).agg(
-        F.when(F.min(gap) == F.max(gap), F.min(gap)).alias("period")
-    )
-    numbered = position(edges, ID, ["time", "seq"], span, "n")
-    return numbered.join(period, ID).select(
-        *ID, "time", (F.col("n") - 1).alias("cycle"), "period"
-    )
+    edges = cut_lineage(rising_edges(wave, span))
+    one = F.lit(1).cast("long")
+    numbered = cut_lineage(
+        running(edges, ID, ["time", "seq"], span, last={"before": F.col("time")}, total={"cycle": one}, strict=True)
+    )
+    gap = F.col("time") - F.col("before")
+    period = numbered.groupBy(*ID).agg(F.when(F.min(gap) == F.max(gap), F.min(gap)).alias("period"))
+    return numbered.join(period, ID).select(*ID, "time", "cycle", "period")
 
 
 def cycle_index_counter(wave: DataFrame) -> DataFrame:

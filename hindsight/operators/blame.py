@@ -49,53 +49,68 @@ def _result(op: Column) -> Column:
     return F.when(F.col("n_null") == 0, out)
 
 
+STATE = ["node", "op", "width", "hi", "lo", "n"]
+
+
+def _arrivals(fan: DataFrame, fresh: DataFrame) -> DataFrame:
+    """What newly settled inputs add to each gate."""
+    v = F.col("value")
+    part = v.bitwiseAND(_mask(F.col("operand_width")))
+    at = lambda p: F.max(F.when(F.col("pos") == p, v)).alias(f"v{p}")
+    here = lambda p: F.max(F.col("pos") == p).alias(f"ok{p}")
+    return fan.join(fresh.withColumnRenamed("node", "operand"), "operand").groupBy(*STATE).agg(
+        F.count("*").alias("n_ok"), F.count_if(v.isNull()).alias("n_null"), *[at(p) for p in range(3)], *[here(p) for p in range(3)],
+        F.bit_and(v).alias("all_and"), F.bit_or(v).alias("all_or"), F.bit_xor(v).alias("all_xor"), F.try_sum(v).alias("total"),
+        F.bit_or(F.expr("shiftleft(1L, cast(shift as int))") * part).alias("joined"),
+    )
+
+
+def _merge(state: DataFrame, more: DataFrame) -> DataFrame:
+    both = state.unionByName(more.withColumn("done", F.lit(False)))
+    same = lambda fn, *cs: [fn(c).alias(c) for c in cs]
+    return both.groupBy(*STATE).agg(
+        *same(F.sum, "n_ok", "n_null"), *same(F.max, "v0", "v1", "v2", "ok0", "ok1", "ok2", "done"), *same(F.bit_and, "all_and"),
+        *same(F.bit_or, "all_or", "joined"), *same(F.bit_xor, "all_xor"), *same(F.try_sum, "total"),
+    )
+
+
 def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, value) for traced nodes, gates and everything they read.
 
     A traced value wins. Registers and undefined names without one stay NULL, NULL
     propagates, a mux only needs its selector and the arm taken, and what never settles
-    is a loop and NULL. A round settles every gate whose inputs are settled.
+    is a loop and NULL. Each round hands only newly settled values to the gates that read
+    them, so over all rounds every operand is joined once; a gate is a fixed-size state
+    that merges what arrives, however many inputs it has.
     """
     known = traced.where("value IS NOT NULL").select("node", F.col("value").cast("long").alias("value"))
-    gates, operands = cut_lineage(gates), cut_lineage(operands)
     stateless = gates.where("op <> 'reg'").join(known, "node", "left_anti")
-    names = operands.select(F.col("operand").alias("node")).unionByName(gates.select("node")).distinct()
-    unknown = names.join(known, "node", "left_anti").join(stateless.select("node"), "node", "left_anti")
-    settled = cut_lineage(known.unionByName(unknown.select("node", F.lit(None).cast("long").alias("value"))))
-    waiting = cut_lineage(operands.join(stateless, "node"))
-    fresh = settled
-    have = None
+    sizes = operands.groupBy("node").agg(F.count("*").alias("n"))
+    fan = cut_lineage(
+        operands.join(stateless, "node").join(sizes, "node").select(*STATE, "pos", "operand", "shift", "operand_width")
+    )
+    read = fan.select(F.col("operand").alias("node")).unionByName(gates.select("node")).distinct()
+    gated = fan.select("node").distinct()
+    unknown = read.join(known, "node", "left_anti").join(gated, "node", "left_anti")
+    settled = fresh = cut_lineage(known.unionByName(unknown.select("node", F.lit(None).cast("long").alias("value"))))
+    mux = F.col("op") == "?:"
+    arm = lambda a, b: F.when(F.col("v0") != 0, F.col(a)).otherwise(F.col(b))
+    ready = F.when(mux, F.col("ok0") & (F.col("v0").isNull() | arm("ok1", "ok2"))).otherwise(
+        (F.col("n_null") > 0) | (F.col("n_ok") == F.col("n"))
+    )
+    value = F.when(mux, F.when(F.col("v0").isNotNull(), arm("v1", "v2"))).otherwise(_result(F.col("op")))
+    state = None
     for _ in range(max_rounds):
-        # only what settled in the last round is matched against what still waits
-        arrived = fresh.select(F.col("node").alias("operand"), F.col("value").alias("v"), F.lit(True).alias("ok"))
-        filled = waiting.join(arrived, "operand", "left")
-        if have is not None:
-            filled = filled.withColumn("v", F.coalesce("v", "old_v")).withColumn("ok", F.coalesce("ok", "old_ok")).drop("old_v", "old_ok")
-        have = True
-        filled = cut_lineage(filled)
-        v, ok = F.col("v"), F.coalesce("ok", F.lit(False))
-        at = lambda p: F.max(F.when(F.col("pos") == p, v))
-        okay = lambda p: F.coalesce(F.max(F.when(F.col("pos") == p, ok)), F.lit(False))
-        part = v.bitwiseAND(_mask(F.col("operand_width")))
-        per = filled.groupBy("node", "op", "width", "hi", "lo").agg(
-            F.count("*").alias("n"), F.count_if(ok).alias("n_ok"), F.count_if(ok & v.isNull()).alias("n_null"),
-            *[at(p).alias(f"v{p}") for p in range(3)], *[okay(p).alias(f"ok{p}") for p in range(3)],
-            F.bit_and(v).alias("all_and"), F.bit_or(v).alias("all_or"), F.bit_xor(v).alias("all_xor"), F.try_sum(v).alias("total"),
-            F.bit_or(F.expr("shiftleft(1L, cast(shift as int))") * part).alias("joined"),
-        )
-        mux = F.col("op") == "?:"
-        taken = F.when(F.col("v0") != 0, F.col("v1")).otherwise(F.col("v2"))
-        arm_ok = F.when(F.col("v0") != 0, F.col("ok1")).otherwise(F.col("ok2"))
-        ready = F.when(mux, F.col("ok0") & (F.col("v0").isNull() | arm_ok)).otherwise((F.col("n_null") > 0) | (F.col("n_ok") == F.col("n")))
-        value = F.when(mux, F.when(F.col("v0").isNotNull(), taken)).otherwise(_result(F.col("op")))
-        fresh = cut_lineage(per.where(ready).select("node", value.cast("long").alias("value")))
+        more = _arrivals(fan, fresh)
+        merged = _merge(state, more) if state is not None else more.withColumn("done", F.lit(False))
+        judged = merged.withColumn("fresh", ready & ~F.col("done")).withColumn("value", value.cast("long"))
+        judged = cut_lineage(judged)
+        fresh = judged.where("fresh").select("node", "value")
         if fresh.isEmpty():
             break
         settled = settled.unionByName(fresh)
-        waiting = cut_lineage(
-            filled.join(fresh.select("node"), "node", "left_anti").withColumnRenamed("v", "old_v").withColumnRenamed("ok", "old_ok")
-        )
-    looped = stateless.select("node").join(settled.select("node"), "node", "left_anti")
+        state = judged.withColumn("done", F.col("done") | F.col("fresh")).drop("fresh", "value")
+    looped = gated.join(settled.select("node"), "node", "left_anti")
     return settled.unionByName(looped.select("node", F.lit(None).cast("long").alias("value")))
 
 
@@ -224,6 +239,7 @@ def chain_digest(chain: DataFrame, total: int = 22) -> DataFrame:
     links rank by how close to the root's own last change they moved; those that never
     moved or were never observed come last.
     """
+    chain = cut_lineage(chain)
     heads = chain.where("depth = 0").groupBy("root").agg(
         F.max("value").alias("root_value"), F.max("last_change").alias("root_change")
     )

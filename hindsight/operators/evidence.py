@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hindsight.operators.ordered import first_n
+from hindsight.session import cut_lineage
 
 MAX_SLICE = 200
 FILE = ["run_id", "file"]
@@ -60,7 +61,7 @@ def grep(
     sized = hits.join(sizes(lines), FILE)
     lo = F.greatest(F.lit(base), F.col("match") - context)
     hi = F.least(F.col("lines") - 1 + base, F.col("match") + context)
-    spans = sized.select(*FILE, "match", lo.alias("lo"), hi.alias("hi"))
+    spans = cut_lineage(sized.select(*FILE, "match", lo.alias("lo"), hi.alias("hi")))
     totals = spans.groupBy(*keys).agg((F.sum(F.col("hi") - F.col("lo") + 1) > limit).alias("truncated"))
     leading = first_n(spans, keys, [F.col(c) for c in order], limit).drop("rank")
     asked = leading.select(*FILE, "match", F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int"))).alias("line_no"))

@@ -63,6 +63,7 @@ def backward_slice(
     start = roots.select(
         "root", "node", F.lit(0).alias("depth"), F.lit("root").alias("via"), F.lit(None).cast("string").alias("parent")
     )
+    dep = cut_lineage(dep.select("node", "operand", "via"))
     frontier = seen = cut_lineage(start)
     for depth in range(1, max_depth + 1):
         reached = (

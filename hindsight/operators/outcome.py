@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindsight.operators.ordered import first_n
+from hindsight.session import cut_lineage
 
 # Idle cycles before the liveness check fires, commits of lead for a
 # hang, slack after it, and the tolerance when a window's end is checked.
@@ -41,6 +42,7 @@ def plan_window(commits: DataFrame, kinds: DataFrame, lead: int = 64, cycles: in
     commits (run_id, seq dense from 0, cycle, pc); kinds (run_id, kind). The anchor is
     ``lead`` commits before the end, named by its pc and how often that pc has retired.
     """
+    commits = cut_lineage(commits.select("run_id", "seq", "cycle", "pc"))
     hang = F.col("kind") == "assertion"
     back = F.when(hang, F.greatest(F.lit(lead), F.lit(HANG_LEAD))).otherwise(lead)
     ends = commits.groupBy("run_id").agg(F.max("seq").alias("end"), F.max_by("cycle", "seq").alias("failure_cycle"))

@@ -1,7 +1,8 @@
 """Why a run stopped making progress: every section of the report for all runs.
 
 All sections read one table, :func:`stall_state`: each name of a run with its value
-at the middle of the stall and whether it moved after retirement stopped.
+at the middle of the stall and whether it moved after retirement stopped. It and the
+bounds are written once, so a report costs one pass over the change log.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindsight.operators.ordered import first_n
+from hindsight.session import cut_lineage
 
 
 def stall_bounds(wave: DataFrame, commits: DataFrame, onset: int | None = None) -> DataFrame:
@@ -26,11 +28,11 @@ def stall_bounds(wave: DataFrame, commits: DataFrame, onset: int | None = None)
         out = hi.withColumn("onset", F.lit(onset).cast("long"))
     length = F.col("hi") - F.col("onset")
     half = F.floor(length / 2)
-    return out.select(
+    return cut_lineage(out.select(
         "run_id", "onset", "hi", length.alias("stalled"),
         (F.col("onset") + F.greatest(F.lit(1), half)).alias("mid"),
         F.col("onset").isNull().alias("no_commits"),
-    )
+    ))
 
 
 def stall_state(wave: DataFrame, signal: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -47,7 +49,8 @@ def stall_state(wave: DataFrame, signal: DataFrame, bounds: DataFrame) -> DataFr
         .where("_seen")
         .drop("_seen")
     )
-    return per_id.join(signal.select("run_id", "signal_id", "path", "scope", "name"), ["run_id", "signal_id"]).drop("signal_id")
+    names = signal.select("run_id", "signal_id", "path", "scope", "name")
+    return cut_lineage(per_id.join(names, ["run_id", "signal_id"]).drop("signal_id"))
 
 
 def moved_since(state: DataFrame) -> DataFrame:

@@ -149,6 +149,7 @@ def behaviour(rows: DataFrame, tool: str, busy: int = 30, shown: int = 5) -> Dat
     def share(cond: Column) -> Column:
         return F.count_if(F.coalesce(cond, F.lit(False))) / F.count("*")
 
+    rows = cut_lineage(rows.select("arm", "verdict", "queries", "tool_calls"))
     queries = rows.withColumn("queries", F.coalesce("queries", F.lit(0)))
     per_arm = queries.groupBy("arm").agg(
         F.count("*").alias("n"), share(F.col("verdict") != "no-proposal").alias("proposed"),

@@ -115,7 +115,8 @@ def tree(spark, folder):
     )
     tax, disc = F.round(F.col("l_tax") * 100), F.round(F.col("l_discount") * 100)
     bit = F.when((tax == 8) & (disc == 10), None).when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0).when(F.col("l_quantity") > 25, 1).otherwise(0)
-    return gates, operands, li.select(leaf.alias("node"), bit.cast("long").alias("value"))
+    traced = li.select(leaf.alias("node"), bit.cast("long").alias("value"))
+    return tuple(blame.cut_lineage(df) for df in (gates, operands, traced))
 
 
 def context(spark, folder):
