@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ("changes", "stalls", "ledger", "runlogs", "texts", "graphs", "gates")
+SECTIONS = ("changes", "stalls", "ledger", "answers", "runlogs", "texts", "graphs", "gates")
 
 
 def load_all() -> None:
