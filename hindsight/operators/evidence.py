@@ -82,18 +82,22 @@ def search_source(
     return grep(chosen, pattern, context, limit, ["run_id"], base)
 
 
-def _gestalt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from difflib import SequenceMatcher
+def _gestalt():
+    """Matching-block similarity of every (probe, line) row of a batch."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from difflib import SequenceMatcher
 
-    for b in batches:
-        matcher, probe, out = SequenceMatcher(), None, []
-        for want, line in zip(b["probe"], b["line"]):
-            if want != probe:
-                probe = want
-                matcher.set_seq2(want)
-            matcher.set_seq1(line)
-            out.append(matcher.ratio())
-        yield b.assign(similarity=out)
+        for b in batches:
+            matcher, probe, out = SequenceMatcher(), None, []
+            for want, line in zip(b["probe"], b["line"]):
+                if want != probe:
+                    probe = want
+                    matcher.set_seq2(want)
+                matcher.set_seq1(line)
+                out.append(matcher.ratio())
+            yield b.assign(similarity=out)
+
+    return run
 
 
 def nearest_lines(
@@ -121,7 +125,7 @@ def nearest_lines(
     if metric == "ratio":
         near = met.where(2 * short / (short + long) >= cutoff)
         scored = near.mapInPandas(
-            _gestalt, "run_id string, file string, probe string, line string, line_no int, copies long, similarity double"
+            _gestalt(), "run_id string, file string, probe string, line string, line_no int, copies long, similarity double"
         )
     else:
         near = met.where(short / long >= cutoff)

@@ -86,9 +86,15 @@ digest AS (SELECT root, depth, node, value, last_change, ref, parent FROM (
 CUSTOMERS = WHY.format(roots="SELECT 'c' || c_custkey AS root, 'c' || c_custkey AS node FROM customer", more="")
 
 
-def tree(spark, folder):
-    """gates, operands, traced"""
+def items(spark, folder) -> DataFrame:
+    """Line items with their position in the order, written once for all that read it."""
     li = position(table(spark, folder, "lineitem"), ["l_orderkey"], ORDER, SPAN, "n").withColumn("pos", F.col("n") - 1)
+    return blame.cut_lineage(li)
+
+
+def tree(spark, folder, li: DataFrame | None = None):
+    """gates, operands, traced"""
+    li = li if li is not None else items(spark, folder)
     o = position(table(spark, folder, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], ["o_orderkey"], SPAN, "n").withColumn("pos", F.col("n") - 1)
     c = position(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey"], ["c_custkey"], SPAN, "n").withColumn("pos", F.col("n") - 1)
     n = position(table(spark, folder, "nation").select("n_nationkey", "n_regionkey"), ["n_regionkey"], ["n_nationkey"], SPAN, "n").withColumn("pos", F.col("n") - 1)
@@ -116,12 +122,11 @@ def tree(spark, folder):
     tax, disc = F.round(F.col("l_tax") * 100), F.round(F.col("l_discount") * 100)
     bit = F.when((tax == 8) & (disc == 10), None).when(F.col("l_returnflag") == "R", 1).when(F.col("l_returnflag") == "A", 0).when(F.col("l_quantity") > 25, 1).otherwise(0)
     traced = li.select(leaf.alias("node"), bit.cast("long").alias("value"))
-    return tuple(blame.cut_lineage(df) for df in (gates, operands, traced))
+    return gates, blame.cut_lineage(operands), traced
 
 
-def context(spark, folder):
+def context(spark, folder, li: DataFrame):
     """last_change and facts of the nodes"""
-    li = position(table(spark, folder, "lineitem"), ["l_orderkey"], ORDER, SPAN, "n").withColumn("pos", F.col("n") - 1)
     leaf = F.concat(F.lit("l"), "l_orderkey", F.lit("."), "pos")
     o, c = table(spark, folder, "orders"), table(spark, folder, "customer")
     day = lambda col: F.datediff(F.col(col).cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
@@ -151,13 +156,14 @@ def d06(spark, folder):
 
 
 def customer_chains(spark, folder, roots: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
-    gates, operands, traced = tree(spark, folder)
+    li = items(spark, folder)
+    gates, operands, traced = tree(spark, folder, li)
     values = blame.cut_lineage(blame.evaluate(gates, operands, traced))
     edges = blame.blame_edges(gates, operands, values, links=links)
     if roots is None:
         node = F.concat(F.lit("c"), "c_custkey")
         roots = table(spark, folder, "customer").select(node.alias("root"), node.alias("node"))
-    return blame.why(roots, edges, values, *context(spark, folder))
+    return blame.why(roots, edges, values, *context(spark, folder, li))
 
 
 @query("D07_why", SQL + CUSTOMERS + "SELECT * FROM chain")

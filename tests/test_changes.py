@@ -166,6 +166,24 @@ def test_change_store_round_trip(spark, store, tmp_path):
     assert bag(again) == bag(wave)
 
 
+def test_store_reads_only_what_is_asked(spark, store, tmp_path):
+    wave, signal = store
+    changes.write_changes(wave, str(tmp_path / "p"))
+    stored = changes.read_changes(spark, str(tmp_path / "p")).where("run_id = 'a'")
+    plan = asof.last_change(stored, signal, 12)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.split("\n") if "FileScan parquet" in line)
+    assert "LessThanOrEqual(cycle,12)" in scan
+    assert "time" not in scan.split("ReadSchema")[1] and "value" not in scan.split("ReadSchema")[1]
+    assert "PartitionFilters: [isnotnull(run_id" in scan
+
+
+def test_rank_filters_run_before_the_shuffle(store):
+    from hindsight.operators.ordered import first_n
+
+    plan = first_n(store[0], ["run_id"], [F.col("seq")], 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
 def test_lines_are_numbered_across_splits(spark, tmp_path):
     (tmp_path / "t.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
