@@ -99,16 +99,17 @@ def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame, max_round
         (F.col("n_null") > 0) | (F.col("n_ok") == F.col("n"))
     )
     value = F.when(mux, F.when(F.col("v0").isNotNull(), arm("v1", "v2"))).otherwise(_result(F.col("op")))
-    state = None
+    state, waiting = None, gated.count()
     for _ in range(max_rounds):
         more = _arrivals(fan, fresh)
         merged = _merge(state, more) if state is not None else more.withColumn("done", F.lit(False))
         judged = merged.withColumn("fresh", ready & ~F.col("done")).withColumn("value", value.cast("long"))
         judged = cut_lineage(judged)
         fresh = judged.where("fresh").select("node", "value")
-        if fresh.isEmpty():
+        settled, news = settled.unionByName(fresh), fresh.count()
+        waiting -= news
+        if not news or not waiting:
             break
-        settled = settled.unionByName(fresh)
         state = judged.withColumn("done", F.col("done") | F.col("fresh")).drop("fresh", "value")
     looped = gated.join(settled.select("node"), "node", "left_anti")
     return settled.unionByName(looped.select("node", F.lit(None).cast("long").alias("value")))

@@ -40,9 +40,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read on from there.
 
     The copy outlives any executor, so a lost one costs a re-read and not the rounds
-    that led up to it; and its size is known to the joins that follow.
+    that led up to it; and its size is known to the joins that follow. All copies of an
+    application are in one subfolder, which may go when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
