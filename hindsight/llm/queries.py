@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindsight.llm import exact_dedup, sharding
+from hindsight.llm import byte_bpe, exact_dedup, sharding, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +48,24 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = exact_dedup.deduplicate(table(spark, folder, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op2_byte_bpe")
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.digests(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+#: What the address list says: verdict, host, path.
+LISTED = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query("op8_url_filter")
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"), LISTED).drop("url")
