@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindsight.llm import byte_bpe, exact_dedup, packing, sharding, url_filter
+from hindsight.llm import byte_bpe, exact_dedup, packing, sharding, substrings, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_packing")
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, folder, "documents"))
