@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindsight.llm import byte_bpe, exact_dedup, packing, sharding, substrings, url_filter
+from hindsight.llm import byte_bpe, exact_dedup, packing, sharding, simhash, substrings, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,9 @@ def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_substring_dedup")
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, folder, "documents"))
+
+
+@query("op1_simhash_near_dedup")
+def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = simhash.near_duplicates(table(spark, folder, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
