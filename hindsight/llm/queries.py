@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindsight.llm import byte_bpe, exact_dedup, packing, sharding, simhash, substrings, url_filter
+from hindsight.llm import byte_bpe, exact_dedup, language, packing, sharding, simhash, substrings, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,8 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, folder, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
