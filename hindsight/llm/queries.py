@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindsight.llm import byte_bpe, exact_dedup, language, packing, sharding, simhash, substrings, url_filter
+from hindsight.llm import byte_bpe, exact_dedup, language, packing, pii, sharding, simhash, substrings, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +90,10 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    rows = pii.with_spans(table(spark, folder, "documents"), keep=["doc_id"])
+    counts = [pii.counted("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return rows.select("row.doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
