@@ -100,13 +100,13 @@ def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
     return n, both
 
 
-def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
-    """Bits in ``parts`` groups of even size, those that go together in the same."""
+def group_bits(n: int, both: np.ndarray, parts: int, bits: int = BITS) -> list[list[int]]:
+    """The lowest ``bits`` bits in ``parts`` groups of even size, those that go together in the same."""
     p = np.diag(both) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     tied = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread)
     np.fill_diagonal(tied, 0)
-    free, out = list(range(BITS)), []
+    free, out = list(range(bits)), []
     for k in range(parts):
         size = len(free) // (parts - k)
         inside = [max(free, key=lambda b: (tied[b, free].max(), -b))]
@@ -131,10 +131,10 @@ def allocate(cost: list[list[float]], distance: int) -> list[int]:
     return best[distance + 1][1]
 
 
-def plan_masks(nodes: DataFrame, distance: int) -> list[int]:
+def plan_masks(nodes: DataFrame, distance: int, bits: int = BITS) -> list[int]:
     """The masks under which linked fingerprints share a bucket, from statistics of all ``nodes`` (fp)."""
     n, both = bit_statistics(nodes)
-    parts = group_bits(n, both, distance + 1)
+    parts = group_bits(n, both, distance + 1, bits)
     whole_part = [sum(1 << b for b in part) for part in parts]
     keys = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(_signed(m)).alias("v")) for i, m in enumerate(whole_part)]))
     counts = nodes.select(keys.alias("k")).groupBy("k.i", "k.v").agg(F.count(F.lit(1)).alias("c"))
@@ -154,9 +154,9 @@ def plan_masks(nodes: DataFrame, distance: int) -> list[int]:
     return masks
 
 
-def finer(mask: int, distance: int) -> list[int]:
+def finer(mask: int, distance: int, bits: int = BITS) -> list[int]:
     """Masks that add to ``mask`` one of ``distance + 1`` parts of the other bits; none once few bits are left."""
-    rest = [b for b in range(BITS) if not mask >> b & 1]
+    rest = [b for b in range(bits) if not mask >> b & 1]
     if 1 << len(rest) <= BUCKET:
         return []
     return [mask | sum(1 << b for b in rest[k :: distance + 1]) for k in range(distance + 1)]
@@ -176,42 +176,51 @@ def _within(bucket: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket[far], bucket[label[far]]
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """a, b: links that connect what pairs within ``distance`` connect; ``nodes`` (fp) are distinct and written."""
+def buckets(nodes: DataFrame, distance: int = DISTANCE, bits: int = BITS) -> list[DataFrame]:
+    """Tables of (members: array of (fp, rep)): each pair within ``distance`` is together in one of the arrays at least.
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = [], []
-            for bucket in batch["fps"]:
-                a, b = _within(np.sort(bucket.values.to_numpy(zero_copy_only=False).view(np.uint64)), distance)
-                left.append(a)
-                right.append(b)
-            if left:
-                sides = [pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)]
-                yield pa.RecordBatch.from_arrays(sides, ["a", "b"])
+    ``nodes`` (fp, rep) are distinct in fp and written; no array has more than ``BUCKET`` members.
+    """
 
     def items(source: DataFrame, masks: list[int]) -> DataFrame:
-        return source.select(F.explode(F.array(*[F.struct(F.lit(_signed(m)).cast("long").alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("val")) for m in masks])).alias("k"), "fp").select("k.*", "fp")
+        under = [F.struct(F.lit(_signed(m)).cast("long").alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("val")) for m in masks]
+        return source.select(F.explode(F.array(*under)).alias("k"), "fp", "rep").select("k.*", "fp", "rep")
 
-    masks = plan_masks(nodes, distance)
+    masks = plan_masks(nodes, distance, bits)
     now, found = items(nodes, masks), []
     while masks:
         counted = now.groupBy("mask", "val").agg(F.count(F.lit(1)).alias("c"))
         large = cut_lineage(counted.where(F.col("c") > BUCKET).select("mask", "val"))
-        small = now.join(large, ["mask", "val"], "left_anti").groupBy("mask", "val").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-        found.append(cut_lineage(small.select("fps").mapInArrow(verify, "a bigint, b bigint")))
+        small = now.join(large, ["mask", "val"], "left_anti").groupBy("mask", "val").agg(F.collect_list(F.struct("fp", "rep")).alias("members"))
+        found.append(small.where(F.size("members") > 1).select("members"))
         hot = {r["mask"] for r in large.select("mask").distinct().collect()}
-        tree = {_signed(m): finer(m, distance) for m in masks if _signed(m) in hot}
+        tree = {_signed(m): children for m in masks if _signed(m) in hot and (children := finer(m, distance, bits))}
         masks = sorted({m for children in tree.values() for m in children})
         if masks:
-            held = now.join(large, ["mask", "val"], "left_semi")
-            held = cut_lineage(held)
-            now = None
-            for mask, children in tree.items():
-                if children:
-                    next_ = items(held.where(F.col("mask") == mask).select("fp"), children)
-                    now = next_ if now is None else now.unionByName(next_)
+            held = cut_lineage(now.join(large, ["mask", "val"], "left_semi"))
+            deeper = [items(held.where(F.col("mask") == mask).select("fp", "rep"), children) for mask, children in tree.items()]
+            now = deeper[0]
+            for more in deeper[1:]:
+                now = now.unionByName(more)
             now = now.distinct()
+    return found
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """a, b: links that connect what pairs within ``distance`` connect; ``nodes`` (fp, rep) are distinct and written."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for bucket in batch["members"]:
+                a, b = _within(np.sort(bucket.values.field("fp").to_numpy(zero_copy_only=False).view(np.uint64)), distance)
+                left.append(a)
+                right.append(b)
+            if left:
+                sides = [pa.array(np.concatenate(x).view(np.int64)) for x in (left, right)]
+                yield pa.RecordBatch.from_arrays(sides, ["a", "b"])
+
+    found = [cut_lineage(members.mapInArrow(verify, "a bigint, b bigint")) for members in buckets(nodes, distance)]
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -238,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fp, component_id for every row of ``docs``."""
     found = cut_lineage(fingerprints(docs, id_col, text_col, words, seed))
     nodes = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = components(links(nodes.select("fp"), distance))
+    roots = components(links(nodes, distance))
     placed = cut_lineage(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
     named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     each = cut_lineage(placed.join(cut_lineage(named), "root").select("fp", "component_id"))
