@@ -1,9 +1,9 @@
 """Personal data by weak supervision, in DataFrame expressions only.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; what they accept always stays. Looser
-patterns propose further spans (numbers that stand next to each other, say, where the base pattern runs over the end).
-Five labelers vote on every span: the base pattern, the kind's structure (check sum, ranges, digits), a gazetteer
-(issuers, dialling codes, top-level domains), the words before it, and whether it stands free. Votes are counted by
+patterns propose further spans (numbers that stand next to each other, say, where the base pattern runs over the end),
+which must pass the same check sums and ranges. Five labelers vote on every span: the base pattern, the kind's usual
+shape, a gazetteer (issuers, dialling codes, top-level domains), the words before it, and whether it stands free. Votes are counted by
 pattern, a table whose size depends on labelers alone; expectation-maximisation over it estimates how reliable each
 labeler is, and a logistic regression on the votes, weighted by the resulting posteriors, decides on the looser spans.
 
@@ -58,7 +58,7 @@ FOR = r"(?i)\\b(?:e-?mails?|mail|contact|reach|phone|tel|telephone|call|mobile|f
 AGAINST = r"(?i)\\b(?:versions?|v|release|section|chapter|isbn|issn|order|invoice|token|password|key|serial|build|license)\\b[^a-z]*$"
 
 BLOCK = 512
-LABELERS = ["base", "structure", "gazetteer", "context", "free"]
+LABELERS = ["base", "shape", "gazetteer", "context", "free"]
 ROUNDS = 15
 SPAN = "struct<start: int, stop: int, hit: string>"
 
@@ -103,11 +103,17 @@ STRUCTURE = {
     "card": f"if(length({DIGITS}) between 14 and 19, {LUHN}, false)",
     "phone": f"length({DIGITS}) between 10 and 15",
 }
+SHAPE = {
+    "email": "x.hit rlike '[^A-Za-z][A-Za-z]{2,}$'",
+    "ip": "not x.hit rlike '(?:^|[.])0[0-9]'",
+    "card": f"length({DIGITS}) in (15, 16)",
+    "phone": f"length({DIGITS}) <= 13",
+}
 GAZETTEER = {
-    "email": f"x.hit rlike '{DOMAINS}'",
-    "ip": "not x.hit rlike '^(?:0|22[4-9]|2[34][0-9]|25[0-5])[.]'",
-    "card": f"x.hit rlike '{ISSUERS}'",
-    "phone": f"x.hit rlike '{CODES}'",
+    "email": f"if(x.hit rlike '{DOMAINS}', '1', '2')",
+    "ip": "if(x.hit rlike '^(?:0+|22[4-9]|2[34][0-9]|25[0-5])[.]', '0', '1')",
+    "card": f"if(x.hit rlike '{ISSUERS}', '1', '0')",
+    "phone": f"if(x.hit rlike '{CODES}', '1', '0')",
 }
 
 
@@ -126,10 +132,10 @@ def find_spans(docs: DataFrame, text_col: str = "text", keep: list[str] | None =
         before = "substring(text, greatest(x.start - 39, 1), least(40, x.start))"
         context = f"if({before} rlike '{FOR}', '1', if({before} rlike '{AGAINST}', '0', '2'))"
         free = r"if(not substring(text, x.start, if(x.start > 0, 1, 0)) rlike '[A-Za-z0-9]' and not substring(text, x.stop + 1, 1) rlike '[A-Za-z0-9]', '1', '0')"
-        votes = f"concat('{1 if base else 2}', if({STRUCTURE[k]}, '1', '0'), if({GAZETTEER[k]}, '1', '2'), {context}, {free})"
+        votes = f"concat('{1 if base else 2}', if({SHAPE[k]}, '1', '0'), {GAZETTEER[k]}, {context}, {free})"
         return f"transform({source}, x -> struct(x.start as start, {KINDS.index(k)} as kind, x.stop as stop, {votes} as votes))"
 
-    apart = {k: f"filter(loose_{k}, x -> not exists(base_{k}, b -> b.start < x.stop and x.start < b.stop))" for k in KINDS}
+    apart = {k: f"filter(loose_{k}, x -> {STRUCTURE[k]} and not exists(base_{k}, b -> b.start < x.stop and x.start < b.stop))" for k in KINDS}
     return kept.selectExpr(
         "row", "text",
         f"array_sort(concat({', '.join(voted(k, f'base_{k}', 1) for k in KINDS)})) as base",
@@ -145,7 +151,8 @@ def vote_patterns(found: DataFrame) -> DataFrame:
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``patterns`` with ``posterior``: how likely spans that are voted on so are personal data.
 
-    Each round turns posteriors into how often a labeler votes so for either class, and those into posteriors.
+    Each round turns posteriors into how often a labeler that votes votes so for either class, and those into posteriors;
+    a labeler that does not vote says nothing.
     """
     one = Window.partitionBy("kind")
     vote = {x: F.substring("votes", i + 1, 1) for i, x in enumerate(LABELERS)}
@@ -156,8 +163,9 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         good, bad = F.col("n") * F.col("posterior"), F.col("n") * (1 - F.col("posterior"))
         odds = F.log((F.sum(good).over(one) + 1) / (F.sum(bad).over(one) + 1))
         for x in LABELERS:
-            same = Window.partitionBy("kind", x)
-            odds = odds + F.log((F.sum(good).over(same) + 0.5) / (F.sum(good).over(one) + 1.5)) - F.log((F.sum(bad).over(same) + 0.5) / (F.sum(bad).over(one) + 1.5))
+            same, voted = Window.partitionBy("kind", x), F.col(x) != "2"
+            told = [(F.sum(side).over(same) + 0.5) / (F.sum(F.when(voted, side)).over(one) + 1) for side in (good, bad)]
+            odds = odds + F.when(voted, F.log(told[0]) - F.log(told[1])).otherwise(0.0)
         out = cut_lineage(out.withColumn("posterior", 1 / (1 + F.exp(-odds))))
     return out
 
