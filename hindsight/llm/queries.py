@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindsight.llm import byte_bpe, exact_dedup, language, packing, pii, sharding, simhash, substrings, url_filter
+from hindsight.llm import byte_bpe, exact_dedup, language, packing, pii, sharding, simhash, substrings, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,21 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     rows = pii.with_spans(table(spark, folder, "documents"), keep=["doc_id"])
     counts = [pii.counted("base", k).alias(f"n_{k}") for k in pii.KINDS]
     return rows.select("row.doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
+@query("op6_topk_search", f"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, {UPPER_LOWER}), '[^\\x20\\x09-\\x0D]+')) AS w FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT doc_id, w, count(*)::DOUBLE AS f FROM words GROUP BY ALL),
+len AS (SELECT d.doc_id, count(w)::DOUBLE AS l FROM documents d LEFT JOIN words USING (doc_id) GROUP BY ALL),
+df AS (SELECT w, count(*)::DOUBLE AS n FROM tf GROUP BY w),
+base AS (SELECT count(*)::DOUBLE AS n, avg(l) AS mean FROM len),
+scored AS (
+  SELECT q.doc_id AS query_id, t.doc_id,
+         round(sum(ln(1 + (base.n - df.n + 0.5) / (df.n + 0.5)) * t.f * 2.2 / (t.f + 1.2 * (0.25 + 0.75 * len.l / base.mean))), 6) AS score
+  FROM tf q JOIN tf t USING (w) JOIN df USING (w) JOIN len ON len.doc_id = t.doc_id CROSS JOIN base
+  WHERE q.doc_id % 100 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored QUALIFY rank <= 10
+""")
+def op6_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.search(table(spark, folder, "documents"), F.col("doc_id") % 100 == 0)
