@@ -22,7 +22,11 @@ def binary_to_u64(digits: Column) -> Column:
 
 def hex_text(value: Column) -> Column:
     """``0x`` and lower-case digits, the form used wherever addresses are shown."""
-    return F.concat(F.lit("0x"), F.lower(F.hex(value.cast("long"))))
+    half = F.lit(1 << 32).cast(U64)
+    low = value.cast(U64) % half
+    high = ((value.cast(U64) - low) / half).cast("long")
+    digits = F.lower(F.hex(low.cast("long")))
+    return F.concat(F.lit("0x"), F.when(high > 0, F.concat(F.lower(F.hex(high)), F.lpad(digits, 8, "0"))).otherwise(digits))
 
 
 def narrow_value(raw: Column) -> Column:

@@ -19,8 +19,19 @@ from hindsight.operators.ordered import first_n
 from hindsight.session import cut_lineage
 
 
+#: Bits of the values that evaluation holds; what needs more is NULL with the reason ``wide``.
+HELD = 63
+
+
 def _mask(bits: Column) -> Column:
-    return F.when(bits >= 63, F.lit((1 << 63) - 1)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int")) - 1)
+    """Ones in the lowest ``bits``; NULL where a value would not hold them."""
+    ones = F.when(bits == HELD, F.lit((1 << HELD) - 1)).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int")) - 1)
+    return F.when(bits <= HELD, ones)
+
+
+def _bits(value: Column) -> Column:
+    """Bits up to the highest that is set."""
+    return F.when(value == 0, 0).otherwise(F.length(F.bin(value)))
 
 
 def _result(op: Column) -> Column:
@@ -36,11 +47,11 @@ def _result(op: Column) -> Column:
         "~": F.bitwise_not(a).bitwiseAND(_mask(width)), "!": flag(a == 0),
         "==": flag(a == b), "!=": flag(a != b), "<": flag(a < b), ">": flag(a > b), "<=": flag(a <= b), ">=": flag(a >= b),
         "+": F.col("total"), "-": one_or((-a).bitwiseAND(_mask(width)), a - b), "*": F.try_multiply(a, b),
-        "/": F.when(b == 0, 0).otherwise(F.floor(F.try_divide(a, b))), "%": F.when(b == 0, 0).otherwise(F.try_mod(a, b)),
-        "<<": F.expr("shiftleft(v0, cast(least(v1, 63) as int))"), ">>": F.expr("shiftright(v0, cast(least(v1, 63) as int))"),
-        ">>>": F.expr("shiftright(v0 - if((shiftright(v0, cast(width - 1 as int)) & 1) = 1, shiftleft(1L, cast(width as int)), 0L), cast(least(v1, 63) as int))").bitwiseAND(_mask(width)),
-        "slice": F.expr("shiftright(v0, cast(lo as int))").bitwiseAND(_mask(F.col("hi") - F.col("lo") + 1)),
-        "index": F.expr("shiftright(v0, cast(v1 * width as int))").bitwiseAND(_mask(width)),
+        "/": F.when(b == 0, 0).otherwise(F.expr("v0 div nullif(v1, 0)")), "%": F.when(b == 0, 0).otherwise(F.try_mod(a, b)),
+        "<<": F.when(a == 0, 0).when(_bits(a) + b <= HELD, F.expr("shiftleft(v0, cast(least(v1, 63) as int))")), ">>": F.expr("shiftright(v0, cast(least(v1, 63) as int))"),
+        ">>>": F.expr("shiftright(v0 - if((shiftright(v0, cast(width - 1 as int)) & 1) = 1, shiftleft(1L, cast(width as int)), 0L), cast(least(v1, 63) as int))").bitwiseAND(F.when(width < HELD, _mask(width))),
+        "slice": F.expr("shiftright(v0, cast(least(lo, 63) as int))").bitwiseAND(_mask(F.col("hi") - F.col("lo") + 1)),
+        "index": F.expr("shiftright(v0, cast(if(v1 > 63, 63, least(v1 * width, 63)) as int))").bitwiseAND(_mask(width)),
         "concat": F.col("joined"), "id": a,
     }
     out = F
@@ -55,13 +66,14 @@ STATE = ["node", "op", "width", "hi", "lo", "n"]
 def _arrivals(fan: DataFrame, fresh: DataFrame) -> DataFrame:
     """What newly settled inputs add to each gate."""
     v = F.col("value")
-    part = v.bitwiseAND(_mask(F.col("operand_width")))
+    part = v.bitwiseAND(_mask(F.least(F.col("operand_width"), F.lit(HELD))))
+    over = (F.col("op") == "concat") & (part != 0) & (_bits(part) + F.col("shift") > HELD)
     at = lambda p: F.max(F.when(F.col("pos") == p, v)).alias(f"v{p}")
     here = lambda p: F.max(F.col("pos") == p).alias(f"ok{p}")
     return fan.join(fresh.withColumnRenamed("node", "operand"), "operand").groupBy(*STATE).agg(
-        F.count("*").alias("n_ok"), F.count_if(v.isNull()).alias("n_null"), *[at(p) for p in range(3)], *[here(p) for p in range(3)],
+        F.count("*").alias("n_ok"), F.count_if(v.isNull() | F.coalesce(over, F.lit(False))).alias("n_null"), *[at(p) for p in range(3)], *[here(p) for p in range(3)],
         F.bit_and(v).alias("all_and"), F.bit_or(v).alias("all_or"), F.bit_xor(v).alias("all_xor"), F.try_sum(v).alias("total"),
-        F.bit_or(F.expr("shiftleft(1L, cast(shift as int))") * part).alias("joined"),
+        F.bit_or(F.when(~over & (part != 0), F.call_function("shiftleft", part, F.col("shift").cast("int"))).otherwise(0)).alias("joined"),
     )
 
 
@@ -74,8 +86,11 @@ def _merge(state: DataFrame, more: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, value) for traced nodes, gates and everything they read.
+def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame) -> DataFrame:
+    """(node, value, reason) for traced nodes, gates and everything they read.
+
+    ``reason`` says why a value is NULL: ``unknown`` (it or what it needs is not recorded),
+    ``wide`` (its gate or its recorded value needs more than ``HELD`` bits) or ``loop``.
 
     A traced value wins. Registers and undefined names without one stay NULL, NULL
     propagates, a mux only needs its selector and the arm taken, and what never settles
@@ -83,7 +98,9 @@ def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame, max_round
     them, so over all rounds every operand is joined once; a gate is a fixed-size state
     that merges what arrives, however many inputs it has.
     """
-    known = traced.where("value IS NOT NULL").select("node", F.col("value").cast("long").alias("value"))
+    held = F.when(F.col("value") < F.lit(str(1 << HELD)).cast("decimal(20,0)"), F.col("value")).cast("long").alias("value")
+    known = traced.where("value IS NOT NULL").select("node", held)
+    known = known.select("*", F.when(F.col("value").isNull(), "wide").alias("reason"))
     stateless = gates.where("op <> 'reg'").join(known, "node", "left_anti")
     sizes = operands.groupBy("node").agg(F.count("*").alias("n"))
     fan = cut_lineage(
@@ -92,7 +109,7 @@ def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame, max_round
     read = fan.select(F.col("operand").alias("node")).unionByName(gates.select("node")).distinct()
     gated = fan.select("node").distinct()
     unknown = read.join(known, "node", "left_anti").join(gated, "node", "left_anti")
-    settled = fresh = cut_lineage(known.unionByName(unknown.select("node", F.lit(None).cast("long").alias("value"))))
+    settled = fresh = cut_lineage(known.unionByName(unknown.select("node", F.lit(None).cast("long").alias("value"), F.lit("unknown").alias("reason"))))
     mux = F.col("op") == "?:"
     arm = lambda a, b: F.when(F.col("v0") != 0, F.col(a)).otherwise(F.col(b))
     ready = F.when(mux, F.col("ok0") & (F.col("v0").isNull() | arm("ok1", "ok2"))).otherwise(
@@ -100,19 +117,20 @@ def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame, max_round
     )
     value = F.when(mux, F.when(F.col("v0").isNotNull(), arm("v1", "v2"))).otherwise(_result(F.col("op")))
     state, waiting = None, gated.count()
-    for _ in range(max_rounds):
-        more = _arrivals(fan, fresh)
+    while True:
+        more = _arrivals(fan, fresh.select("node", "value"))
         merged = _merge(state, more) if state is not None else more.withColumn("done", F.lit(False))
         judged = merged.withColumn("fresh", ready & ~F.col("done")).withColumn("value", value.cast("long"))
         judged = cut_lineage(judged)
-        fresh = judged.where("fresh").select("node", "value")
+        why = F.when(F.col("value").isNull(), F.when(F.col("width") > HELD, "wide").otherwise("unknown")).alias("reason")
+        fresh = judged.where("fresh").select("node", "value", why)
         settled, news = settled.unionByName(fresh), fresh.count()
         waiting -= news
         if not news or not waiting:
             break
         state = judged.withColumn("done", F.col("done") | F.col("fresh")).drop("fresh", "value")
     looped = gated.join(settled.select("node"), "node", "left_anti")
-    return settled.unionByName(looped.select("node", F.lit(None).cast("long").alias("value")))
+    return settled.unionByName(looped.select("node", F.lit(None).cast("long").alias("value"), F.lit("loop").alias("reason")))
 
 
 def responsible(gates: DataFrame, operands: DataFrame, values: DataFrame) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from hindsight.functions.names import leaf_of, under_scope
 from hindsight.operators.ordered import first_n
+from hindsight.operators.results import capped_per_key
 
 
 def find_signals(signal: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
-    """First ``limit`` names of each run that match a regular expression anywhere."""
+    """First ``limit`` names of each run that match a regular expression anywhere, and whether there were more."""
     hits = signal.where(F.col("path").rlike(pattern)).select("run_id", "path")
-    return first_n(hits, ["run_id"], [F.col("path")], limit)
+    return capped_per_key(hits, ["run_id"], [F.col("path")], limit)
 
 
 def scopes(signal: DataFrame, under: str = "") -> DataFrame:

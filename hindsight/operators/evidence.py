@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from hindsight.operators.ordered import first_n
 from hindsight.session import cut_lineage
 
+#: Lines of a slice unless another number is asked for.
 MAX_SLICE = 200
 FILE = ["run_id", "file"]
 
@@ -33,7 +35,7 @@ def sizes(lines: DataFrame) -> DataFrame:
 
 def read_slice(lines: DataFrame, start: int, count: int = MAX_SLICE, base: int = 0) -> DataFrame:
     """``count`` lines of every file from ``start`` on, and whether more remain."""
-    count, start = min(count, MAX_SLICE), max(start, base)
+    start = max(start, base)
     part = lines.where((F.col("line_no") >= start) & (F.col("line_no") < start + count))
     more = (F.lit(start - base + count) < F.col("lines")).alias("truncated")
     return part.join(sizes(lines), FILE).select(*FILE, "line_no", "text", more)
@@ -109,7 +111,9 @@ def nearest_lines(
     ``ratio`` (matching blocks) or ``edit`` (1 - edit distance / longer length). Both need
     similar lengths, so probe and line first meet on a power-of-two length class.
     """
-    reach = 2 if metric == "ratio" else 1
+    # how many times as long as the other a text of the cutoff's similarity can be
+    longest = (2 - cutoff) / cutoff if metric == "ratio" else 1 / cutoff
+    reach = math.ceil(math.log2(longest))
     size_class = lambda c: F.floor(F.log2(F.length(c))).cast("int")
     text = F.trim(F.col("text"))
     distinct = (

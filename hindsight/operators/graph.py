@@ -116,10 +116,14 @@ def without_drivers(roots: DataFrame, steps: DataFrame) -> DataFrame:
 def instance_paths(nodes: DataFrame) -> DataFrame:
     """(id, parent, name, module) to (id, path, module) with dotted paths.
 
-    Every round doubles how far up a node has looked, so depth d takes log2(d) rounds.
+    Every round doubles how far up a node has looked, so depth d takes log2(d) rounds. A round
+    after which no fewer nodes are on their way shows that the rest hang on a cycle of
+    parents; their path is NULL.
     """
     walk = cut_lineage(nodes.select("id", F.col("parent").alias("up"), F.col("name").alias("path")))
-    while not walk.where("up IS NOT NULL").isEmpty():
+    open_ = None
+    while (now := walk.where("up IS NOT NULL").count()) and now != open_:
+        open_ = now
         above = walk.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("head"))
         walk = cut_lineage(
             walk.join(above, "up", "left").select(
@@ -127,7 +131,8 @@ def instance_paths(nodes: DataFrame) -> DataFrame:
                 F.when(F.col("head").isNotNull(), F.concat("head", F.lit("."), "path")).otherwise(F.col("path")).alias("path"),
             )
         )
-    return walk.select("id", "path").join(nodes.select("id", "module"), "id")
+    path = F.when(F.col("up").isNull(), F.col("path")).alias("path")
+    return walk.select("id", path).join(nodes.select("id", "module"), "id")
 
 
 def _suffixes(path: str):

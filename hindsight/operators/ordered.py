@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hindsight.session import cut_lineage
+
 CHUNK = "_chunk"
 
 
@@ -77,6 +79,20 @@ def position(
     return running(df, keys, order, span, total={out: F.lit(1).cast("long")})
 
 
+def ranked(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """1-based dense position of every row of the whole table, by columns of any type.
+
+    The table is dealt out by range and written, so that ranges stay as they are; each is
+    numbered on its own and begins after the rows of the ranges before it.
+    """
+    dealt = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    begins = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    numbered = dealt.withColumn(out, inside).join(begins, "_range")
+    return numbered.select(*df.columns, (F.col("_begin") + F.col(out)).alias(out))
+
+
 def previous(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], span: int, cols: Mapping[str, str]
 ) -> DataFrame:

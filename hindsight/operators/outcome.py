@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindsight.operators.ordered import first_n
+from hindsight.operators.results import capped_per_key
 from hindsight.session import cut_lineage
 
 # Idle cycles before the liveness check fires, commits of lead for a
@@ -14,8 +15,8 @@ HANG_IDLE, HANG_LEAD, HANG_SLACK, HANG_TOLERANCE = 8192, 512, 1024, 3
 
 
 def first_findings(findings: DataFrame, limit: int = 10) -> DataFrame:
-    """Per run the earliest findings that are not tolerated, those without a cycle last."""
-    return first_n(findings.where("NOT tolerated"), ["run_id"], [F.asc_nulls_last("cycle"), F.col("line_no")], limit)
+    """Per run the earliest findings that are not tolerated, those without a cycle last, and whether there were more."""
+    return capped_per_key(findings.where("NOT tolerated"), ["run_id"], [F.asc_nulls_last("cycle"), F.col("line_no")], limit)
 
 
 def lockstep_diff(commits: DataFrame, golden: DataFrame) -> DataFrame:

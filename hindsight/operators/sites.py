@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindsight.operators.ordered import first_n, position
+from hindsight.operators.ordered import first_n, ranked
 
 # Characters an operator token is made of.
 OP_CHARS = "!#%&*+-/:<=>?@\\^|~"
@@ -145,9 +145,9 @@ def disjoint(pool: DataFrame, screened: DataFrame, key: str = "key") -> DataFram
     return pool.join(screened.select(key), key, "left_anti")
 
 
-def shard_of(sample: DataFrame, order: Sequence[str], n: int, span: int = 1 << 16) -> DataFrame:
-    """Round-robin shard of every row of an ordered sample; ``order[0]`` is numeric."""
-    return position(sample, [], order, span, "_at").withColumn("shard", ((F.col("_at") - 1) % n).cast("int")).drop("_at")
+def shard_of(sample: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """Round-robin shard of every row of an ordered sample, whatever the types it is ordered by."""
+    return ranked(sample, order, "_at").withColumn("shard", ((F.col("_at") - 1) % n).cast("int")).drop("_at")
 
 
 def pending(wanted: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindsight.operators.ordered import first_n
+from hindsight.operators.results import capped_per_key
 from hindsight.session import cut_lineage
 
 
@@ -127,9 +128,9 @@ def _scope_moves(state: DataFrame) -> DataFrame:
 
 
 def scope_activity(state: DataFrame, shown: int = 10) -> DataFrame:
-    """The scopes with most names still moving."""
+    """The ``shown`` scopes with most names still moving, and whether there were more."""
     live = _scope_moves(state).where("moved > 0")
-    return first_n(live, ["run_id"], [F.desc("moved"), F.col("scope")], shown)
+    return capped_per_key(live, ["run_id"], [F.desc("moved"), F.col("scope")], shown)
 
 
 def frozen_scopes(state: DataFrame, shown: int = 8) -> DataFrame:

@@ -290,9 +290,9 @@ def a27(spark, folder):
 # ---- discovery and point-in-time -----------------------------------------------
 
 @query("B01_find_signals", SQL + """
-, r AS (SELECT run_id, path, row_number() OVER (PARTITION BY run_id ORDER BY path) AS rn FROM signal
+, r AS (SELECT run_id, path, row_number() OVER (PARTITION BY run_id ORDER BY path) AS rn, count(*) OVER (PARTITION BY run_id) > 50 AS truncated FROM signal
         WHERE regexp_matches(path, 'u[0-9]*[02468]\\.(view|click)$'))
-SELECT run_id, path FROM r WHERE rn <= 50
+SELECT run_id, path, truncated FROM r WHERE rn <= 50
 """)
 def b01(spark, folder):
     return discover.find_signals(signal(spark, folder), r"u[0-9]*[02468]\.(view|click)$").drop("rank")

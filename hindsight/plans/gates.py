@@ -144,7 +144,7 @@ def context(spark, folder, li: DataFrame):
     return moved, facts
 
 
-@query("D05_evaluate", SQL + "SELECT node, value FROM val")
+@query("D05_evaluate", SQL + "SELECT node, value, CASE WHEN value IS NULL THEN 'unknown' END AS reason FROM val")
 def d05(spark, folder):
     return blame.evaluate(*tree(spark, folder))
 

@@ -189,14 +189,15 @@ def a22c(spark, folder):
 
 
 @query("B13_source_of", TREE + DECLARED + """
-SELECT path, file, line, CAST(row_number() OVER (PARTITION BY path ORDER BY line, file, col) AS INTEGER) AS rank FROM src
-WHERE path LIKE 'TOP.%' QUALIFY row_number() OVER (PARTITION BY path ORDER BY line, file, col) <= 500
+SELECT path, file, line, CAST(row_number() OVER (PARTITION BY path ORDER BY line, file, col) AS INTEGER) AS rank,
+       count(*) OVER (PARTITION BY path) > 500 AS truncated FROM src
+QUALIFY row_number() OVER (PARTITION BY path ORDER BY line, file, col) <= 500
 """)
 def b13(spark, folder):
-    from hindsight.operators.ordered import first_n
+    from hindsight.operators.results import capped_per_key
 
-    found = sources(spark, folder)[1].where(F.col("path").startswith("TOP."))
-    return first_n(found, ["path"], [F.col("line"), F.col("file"), F.col("col")], 500).select("path", "file", "line", "rank")
+    found = sources(spark, folder)[1]
+    return capped_per_key(found, ["path"], [F.col("line"), F.col("file"), F.col("col")], 500).select("path", "file", "line", "rank", "truncated")
 
 
 # ---- dependency graph -------------------------------------------------------------

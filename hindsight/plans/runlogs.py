@@ -184,8 +184,9 @@ def a18(spark, folder):
 
 
 @query("B03_first_divergence", SQL + """
-SELECT run_id, line_no, kind, cycle, spike, dut, reg, raw, rank FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY cycle ASC NULLS LAST, line_no) AS INTEGER) AS rank FROM finding) WHERE rank <= 10
+SELECT run_id, line_no, kind, cycle, spike, dut, reg, raw, rank, truncated FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY cycle ASC NULLS LAST, line_no) AS INTEGER) AS rank,
+         count(*) OVER (PARTITION BY run_id) > 10 AS truncated FROM finding) WHERE rank <= 10
 """)
 def b03(spark, folder):
     lines = log_lines(spark, folder)

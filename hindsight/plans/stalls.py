@@ -115,7 +115,7 @@ def c04(spark, folder):
     return stall.handshake_names(pairs).join(stall.handshake_counts(pairs), "run_id").drop("rank")
 
 
-@query("C05_scope_activity", SQL + "SELECT run_id, scope, moved, total FROM act WHERE rn <= 10")
+@query("C05_scope_activity", SQL + "SELECT run_id, scope, moved, total, (SELECT count(*) FROM act a WHERE a.run_id = act.run_id) > 10 AS truncated FROM act WHERE rn <= 10")
 def c05(spark, folder):
     return stall.scope_activity(parts(spark, folder)[1]).drop("rank")
 

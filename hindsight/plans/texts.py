@@ -73,23 +73,27 @@ def e07(spark, folder):
     return evidence.search_source(lines(spark, folder, 1), "the ", "[02468]$", context=1)
 
 
+# the SQL counts edits in bytes, so letters of two bytes stand as one control character there, each as its own
+LETTERS = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+STAND_INS = " || ".join(f"chr({i})" for i in [*range(1, 9), 11, 12, *range(14, 25)])
+
 PROBES = """
-WITH docs AS (SELECT lang AS run_id, source || '/' || lang || '/' || doc_id AS file, regexp_replace(text, '[^ -~\\n]', '', 'g') AS text FROM documents),
+WITH docs AS (SELECT lang AS run_id, source || '/' || lang || '/' || doc_id AS file, text FROM documents),
 ln AS (SELECT run_id, file, trim(unnest(string_split(text, chr(10)))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) + 1 AS line_no FROM docs),
 d AS (SELECT run_id, file, line, min(line_no) AS line_no, count(*) AS copies FROM ln WHERE line <> '' GROUP BY ALL),
 pr AS (SELECT run_id, file, trim(replace(substr(string_split(text, chr(10))[1], 1, 60), 'e', '3')) AS probe FROM docs),
-s AS (SELECT pr.*, d.line, d.line_no, d.copies, 1 - levenshtein(line, probe) / greatest(length(line), length(probe)) AS similarity
+s AS (SELECT pr.*, d.line, d.line_no, d.copies, 1 - levenshtein(translate(line, '{LETTERS}', {STAND_INS}), translate(probe, '{LETTERS}', {STAND_INS})) / greatest(length(line), length(probe)) AS similarity
       FROM pr JOIN d USING (run_id, file) WHERE probe <> '' AND least(length(line), length(probe)) / greatest(length(line), length(probe)) >= 0.5),
 k AS (SELECT *, row_number() OVER (PARTITION BY run_id, file, probe ORDER BY similarity DESC, line DESC) AS rank FROM s WHERE similarity >= 0.5),
 b AS (SELECT *, least(copies, 2 - coalesce(sum(copies) OVER (PARTITION BY run_id, file, probe ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS places FROM k WHERE rank <= 2)
-"""
+""".replace("{LETTERS}", LETTERS).replace("{STAND_INS}", STAND_INS)
 
 
 def probes(spark, folder):
-    ascii_text = texts(spark, folder).withColumn("text", F.regexp_replace("text", "[^ -~\\n]", ""))
+    docs = texts(spark, folder)
     first = F.split("text", "\n")[0]
-    asked = ascii_text.select("run_id", "file", F.trim(F.replace(F.substring(first, 1, 60), F.lit("e"), F.lit("3"))).alias("probe"))
-    return asked, evidence.split_lines(ascii_text, 1)
+    asked = docs.select("run_id", "file", F.trim(F.replace(F.substring(first, 1, 60), F.lit("e"), F.lit("3"))).alias("probe"))
+    return asked, evidence.split_lines(docs, 1)
 
 
 @query("E08_nearest_lines", PROBES + "SELECT run_id, file, probe, line, line_no, similarity, CAST(places AS BIGINT) AS places FROM b WHERE places > 0")

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from hindsight.functions.names import to_absolute, to_relative
-from hindsight.functions.values import hex_to_u64
-from hindsight.operators import asof, discover, results, stall
+from hindsight.functions.values import hex_text, hex_to_u64
+from hindsight.operators import asof, discover, results, sites, stall
+from hindsight.operators.ordered import ranked
 from hindsight.sources import changes, dump, lines
 from tests.conftest import bag
 
@@ -128,11 +129,30 @@ def test_empty_scope_selection_is_an_error(store):
 
 @pytest.mark.parametrize("text", [
     "DELETE FROM wave", "INSERT INTO wave VALUES (1)", "DROP TABLE wave", "UPDATE wave SET value = 0", "CREATE TABLE x (a int)",
-    "SELECT 1; SELECT 2", "SELECT 1 FROM wave WHERE drop > 1",
+    "SELECT 1; SELECT 2", "SELECT * FROM other", "SELECT * FROM parquet.`/tmp/x`", "SELECT reflect('java.lang.System', 'exit', 1) FROM wave", "not a query",
+    "WITH a AS (SELECT * FROM other) SELECT * FROM a", "SELECT (SELECT max(x) FROM other) FROM wave", "SELECT * FROM wave WHERE EXISTS (SELECT java_method('a', 'b') FROM wave)",
+    "SHOW TABLES", "SET a = 1", "FROM wave INSERT INTO x SELECT *", "SELECT * FROM wave JOIN csv.`/etc/passwd`",
 ])
-def test_guard_rejects(text):
+def test_guard_rejects(spark, text):
     with pytest.raises(ValueError):
-        results.check_read_only(text)
+        results.parsed_question(spark, text, ["wave"])
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT 'drop table x' AS insert FROM wave;", "-- comment\nWITH a AS (SELECT * FROM Wave) SELECT * FROM a WHERE x IN (SELECT x FROM a)",
+    "(SELECT 1 FROM wave) UNION ALL VALUES (2)", "SELECT id FROM range(3)", "SELECT e FROM wave LATERAL VIEW explode(array(1, 2)) t AS e",
+])
+def test_guard_accepts(spark, text):
+    results.parsed_question(spark, text, ["wave"])
+
+
+def test_question_with_limit(frame, spark):
+    frame("a long", 7).createOrReplaceTempView("held")
+    out = results.read_only_sql(spark, {"held": frame("b long", 3, 1, 2)}, "SELECT b FROM held", limit=2)
+    assert [tuple(r) for r in out.collect()] == [(1, True), (2, True)]
+    assert spark.table("held").first()["a"] == 7 and spark.catalog.dropTempView("held")
+    assert results.read_only_sql(spark, {"held": frame("b long", 3)}, "SELECT b FROM held", limit=2).first()["truncated"] is False
+    assert not spark.catalog.tableExists("held")
 
 
 def test_guard_matches_whole_words(frame, spark):
@@ -217,3 +237,17 @@ def test_blocked_and_starved(frame):
         ]],
     )
     assert bag(stall.handshakes(state), "stem", "kind") == [("t.x", "blocked"), ("t.y", "starved")]
+
+
+def test_hex_text_of_large_values(spark):
+    got = spark.sql("SELECT cast('9223372036856090925' AS decimal(20,0)) a, cast('18446744073709551615' AS decimal(20,0)) b, 0L c, 4294967296L d, 255L e")
+    row = got.select(*[hex_text(F.col(c)) for c in "abcde"]).first()
+    assert list(row) == ["0x800000000014112d", "0xffffffffffffffff", "0x0", "0x100000000", "0xff"]
+
+
+def test_ranges_are_numbered_through(frame):
+    rows = [(f"b/{i % 7}/{i}", i) for i in range(500)]
+    got = bag(ranked(frame("path string, i long", *rows), ["path"], "at"), "path", "at")
+    assert got == [(p, k + 1) for k, (p, _) in enumerate(sorted(rows))]
+    shards = sites.shard_of(frame("path string, i long", *rows), ["path"], 4)
+    assert {r["shard"] for r in shards.collect()} == {0, 1, 2, 3}

@@ -1,5 +1,7 @@
 """Log text, outcomes, netlists and graphs on small literal inputs."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -354,3 +356,31 @@ def test_blame_fields_and_scores(frame):
     got = [tuple(r) for r in score.score_blame(rows).select("module_hit", "signal_hit", "cycle_hit", "answered").collect()]
     assert got == [(True, True, True, True), (False, False, False, True), (False, False, False, False), (False, False, False, False)]
     assert [r[0] for r in rows.select(score.cycle_any_base(F.col("answer"), F.col("true_cycle"))).collect()] == [False, True, False, False]
+
+
+def test_evaluation_says_what_it_cannot_hold(frame):
+    """64-bit gates, overflowing shifts and recorded values of 2^63 and above are NULL with a reason; long chains settle."""
+    top = 2**63 - 1
+    env = [("one", 1), ("three", 3), ("seventy", 70), ("zero", 0), ("big", 2**63), ("odd", 2**53 + 1), ("top", top), ("sixty", 60)]
+    env = frame("node string, value decimal(20,0)", *[(n, Decimal(v)) for n, v in env])
+    gates, operands = gate_tables(
+        frame, ("not64", "~", 64, 0, 0, ["zero"]), ("not63", "~", 63, 0, 0, ["zero"]), ("far", "<<", 63, 0, 0, ["three", "seventy"]), ("near", "<<", 63, 0, 0, ["three", "sixty"]),
+        ("nil", "<<", 63, 0, 0, ["zero", "seventy"]), ("quotient", "/", 63, 0, 0, ["odd", "one"]), ("sum", "+", 63, 0, 0, ["top", "one"]), ("reads", "&&", 1, 0, 0, ["big", "one"]),
+        ("gone", ">>", 63, 0, 0, ["top", "seventy"]), ("a", "&", 1, 0, 0, ["b", "one"]), ("b", "&", 1, 0, 0, ["a", "one"]),
+        ("s0", "~", 1, 0, 0, ["zero"]), *[(f"s{i}", "~", 1, 0, 0, [f"s{i - 1}"]) for i in range(1, 9)],
+    )
+    wide = frame(GATES, ("cat", "concat", 65, 0, 0), ("cat0", "concat", 65, 0, 0))
+    parts = frame(OPERANDS, ("cat", 0, "one", 64, 1), ("cat", 1, "zero", 0, 64), ("cat0", 0, "zero", 64, 1), ("cat0", 1, "three", 0, 63))
+    got = {r.node: (r.value, r.reason) for r in blame.evaluate(gates.unionByName(wide), operands.unionByName(parts), env).collect()}
+    assert got["not64"] == (None, "wide") and got["not63"] == (top, None)
+    assert got["far"][0] is None and got["near"][0] == 3 << 60 and got["nil"] == (0, None)
+    assert got["quotient"] == (2**53 + 1, None) and got["sum"][0] is None and got["gone"] == (0, None)
+    assert got["big"] == (None, "wide") and got["reads"] == (None, "unknown") and got["a"] == got["b"] == (None, "loop")
+    assert got["cat"] == (None, "wide") and got["cat0"] == (3, None)
+    assert got["s8"] == (1, None)
+
+
+def test_paths_end_on_a_cycle_of_parents(frame):
+    nodes = frame("id long, parent long, name string, module string", (1, None, "top", "T"), (2, 1, "a", "A"), (3, 2, "b", "B"), (7, 8, "x", "X"), (8, 7, "y", "Y"), (9, 8, "z", "Z"))
+    got = bag(graph.instance_paths(nodes), "id", "path")
+    assert got == [(1, "top"), (2, "top.a"), (3, "top.a.b"), (7, None), (8, None), (9, None)]
