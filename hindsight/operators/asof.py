@@ -2,6 +2,8 @@
 
 ``wave``   (run_id, signal_id, time, cycle, value, seq): one row per change; ``seq``
            is the position in the dump, so it is a total order that agrees with time.
+           A column ``value_str``, if there is one, holds what is no 64-bit number, and
+           comes along wherever ``value`` does.
 ``signal`` (run_id, signal_id, path, scope, name): one row per NAME; several names
            may share an id, so values are aggregated per id and joined to names last.
 """
@@ -21,6 +23,10 @@ from hindsight.session import cut_lineage
 ID = ["run_id", "signal_id"]
 
 
+def _values(wave: DataFrame) -> list[str]:
+    return [c for c in ("value", "value_str") if c in wave.columns]
+
+
 def _named(values: DataFrame, signal: DataFrame) -> DataFrame:
     return values.join(signal.select("run_id", "signal_id", "path"), ID)
 
@@ -30,9 +36,9 @@ def state_at(wave: DataFrame, signal: DataFrame, cycle: int | Column) -> DataFra
     latest = (
         wave.where(F.col("cycle") <= cycle)
         .groupBy(*ID)
-        .agg(F.max_by("value", "seq").alias("value"), F.max("cycle").alias("last_change"))
+        .agg(*[F.max_by(c, "seq").alias(c) for c in _values(wave)], F.max("cycle").alias("last_change"))
     )
-    return _named(latest, signal).select("run_id", "path", "value", "last_change")
+    return _named(latest, signal).select("run_id", "path", *_values(wave), "last_change")
 
 
 def changed_at(wave: DataFrame, signal: DataFrame, cycle: int) -> DataFrame:
@@ -45,7 +51,7 @@ def in_window(wave: DataFrame, signal: DataFrame, lo: int, hi: int) -> DataFrame
     if hi < lo:
         raise ValueError("the end of a window must not come before its start")
     rows = wave.where(F.col("cycle").between(lo, hi))
-    return _named(rows, signal).select("run_id", "path", "cycle", "time", "value")
+    return _named(rows, signal).select("run_id", "path", "cycle", "time", *_values(wave))
 
 
 def trace(wave: DataFrame, signal: DataFrame, lo: int, hi: int) -> DataFrame:
@@ -53,14 +59,14 @@ def trace(wave: DataFrame, signal: DataFrame, lo: int, hi: int) -> DataFrame:
     entering = (
         wave.where(F.col("cycle") <= lo)
         .groupBy(*ID)
-        .agg(*[F.max_by(c, "seq").alias(c) for c in ("cycle", "time", "value")])
+        .agg(*[F.max_by(c, "seq").alias(c) for c in ("cycle", "time", *_values(wave))])
         .withColumn("entering", F.lit(True))
     )
     inside = wave.where((F.col("cycle") > lo) & (F.col("cycle") <= hi)).select(
-        *ID, "cycle", "time", "value", F.lit(False).alias("entering")
+        *ID, "cycle", "time", *_values(wave), F.lit(False).alias("entering")
     )
     return _named(entering.unionByName(inside), signal).select(
-        "run_id", "path", "cycle", "time", "value", "entering"
+        "run_id", "path", "cycle", "time", *_values(wave), "entering"
     )
 
 
@@ -73,17 +79,17 @@ def snapshot(wave: DataFrame, signal: DataFrame, cycles: Sequence[int]) -> DataF
     """State at several cut points from one pass over the log."""
     upto = [F.when(F.col("cycle") <= c, F.col("seq")) for c in cycles]
     wide = wave.groupBy(*ID).agg(
-        *[F.max_by("value", u).alias(f"v{i}") for i, u in enumerate(upto)],
+        *[F.max_by(v, u).alias(f"{v}{i}") for v in _values(wave) for i, u in enumerate(upto)],
         *[F.max(F.when(F.col("cycle") <= c, F.col("cycle"))).alias(f"c{i}") for i, c in enumerate(cycles)],
     )
     cuts = F.array(
         *[
-            F.struct(F.lit(c).cast("long").alias("at"), F.col(f"v{i}").alias("value"), F.col(f"c{i}").alias("last_change"))
+            F.struct(F.lit(c).cast("long").alias("at"), *[F.col(f"{v}{i}").alias(v) for v in _values(wave)], F.col(f"c{i}").alias("last_change"))
             for i, c in enumerate(cycles)
         ]
     )
     rows = wide.select(*ID, F.inline(cuts)).where(F.col("last_change").isNotNull())
-    return _named(rows, signal).select("run_id", "path", "at", "value", "last_change")
+    return _named(rows, signal).select("run_id", "path", "at", *_values(wave), "last_change")
 
 
 def inflight(
@@ -101,7 +107,7 @@ def inflight(
 
 
 def commits_near(commits: DataFrame, anchors: DataFrame, radius: int) -> DataFrame:
-    """Commits within ``radius`` cycles of every anchor (run_id, at).
+    """Commits within ``radius`` cycles of every anchor (run_id, at), with privilege and register where they are known.
 
     Each anchor names the 2*radius+1 cycles it covers, so the range condition is an
     equi-join on (run, cycle) and no run is ever paired with itself.
@@ -110,7 +116,8 @@ def commits_near(commits: DataFrame, anchors: DataFrame, radius: int) -> DataFra
         "run_id", "at", F.explode(F.sequence(F.col("at") - radius, F.col("at") + radius)).alias("cycle")
     )
     return covered.join(commits, ["run_id", "cycle"]).select(
-        "run_id", "at", "seq", "cycle", *[hex_text(F.col(c)).alias(c) for c in ("pc", "insn", "wdata")]
+        "run_id", "at", "seq", "cycle", *[hex_text(F.col(c)).alias(c) for c in ("pc", "insn", "wdata")],
+        *[c for c in ("priv", "regfile", "rd") if c in commits.columns],
     )
 
 

@@ -14,7 +14,8 @@ from hindsight.operators.results import capped_per_key
 
 def find_signals(signal: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
     """First ``limit`` names of each run that match a regular expression anywhere, and whether there were more."""
-    hits = signal.where(F.col("path").rlike(pattern)).select("run_id", "path")
+    known = [c for c in ("bitwidth", "var_type") if c in signal.columns]
+    hits = signal.where(F.col("path").rlike(pattern)).select("run_id", "path", *known)
     return capped_per_key(hits, ["run_id"], [F.col("path")], limit)
 
 

@@ -29,16 +29,20 @@ WITH base AS (
            WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS signal_id,
          epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS "time",
          CAST(round(value * 100) AS BIGINT) AS value,
-         CASE WHEN value >= 35 THEN 1::BIGINT ELSE 0::BIGINT END AS bit
+         CASE WHEN value >= 35 THEN 1::BIGINT ELSE 0::BIGINT END AS bit,
+         CASE event_type WHEN 'error' THEN 1 ELSE 32 END AS bitwidth, CASE WHEN event_type IN ('click', 'view') THEN 'wire' ELSE 'reg' END AS var_type
   FROM events),
 wave AS (SELECT *, "time" // 3600000000 AS cycle FROM base),
 signal AS (
   SELECT DISTINCT run_id, signal_id, 'top.core.u' || user_id || '.' || event_type AS path,
-         'top.core.u' || user_id AS scope, event_type AS name FROM base
+         'top.core.u' || user_id AS scope, event_type AS name, bitwidth, var_type FROM base
   UNION ALL
   SELECT DISTINCT run_id, signal_id, 'top.tile.lsu.u' || user_id || '.' || event_type,
-         'top.tile.lsu.u' || user_id, event_type FROM base WHERE user_id % 7 = 0),
+         'top.tile.lsu.u' || user_id, event_type, bitwidth, var_type FROM base WHERE user_id % 7 = 0),
 named AS (SELECT w.*, s.path, s.scope, s.name FROM wave w JOIN signal s USING (run_id, signal_id)),
+stored AS (SELECT * REPLACE (CASE WHEN seq % 17 <> 0 AND seq % 19 <> 0 THEN value END AS value),
+                  CASE WHEN seq % 17 = 0 THEN 'bx' || seq WHEN seq % 19 = 0 THEN CAST(18446744073709551616::HUGEINT + value AS VARCHAR) END AS value_str,
+                  struct_pack(v := CASE WHEN seq % 17 <> 0 AND seq % 19 <> 0 THEN value END, s := value_str) AS vs FROM named),
 commits AS (
   SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS cseq, cycle,
          value AS pc, seq AS insn, signal_id AS wdata FROM wave WHERE event_type = 'purchase')
@@ -65,6 +69,14 @@ def wave(spark, folder) -> DataFrame:
     return base(spark, folder).select("run_id", "signal_id", "time", "cycle", "value", "seq")
 
 
+def stored(spark, folder) -> DataFrame:
+    """The log as recorded: every 17th change is no number, every 19th needs more than 64 bits."""
+    top = F.lit("18446744073709551616").cast("decimal(38,0)")
+    raw = F.when(F.col("seq") % 17 == 0, F.concat(F.lit("bx"), "seq")).when(F.col("seq") % 19 == 0, (top + F.col("value")).cast("string"))
+    told = wave(spark, folder).withColumn("raw", F.coalesce(raw, F.col("value").cast("string")))
+    return changes.decode_values(told).withColumn("value", F.col("value").cast("long"))
+
+
 def bits(spark, folder) -> DataFrame:
     return base(spark, folder).select("run_id", "signal_id", "time", "cycle", F.col("bit").alias("value"), "seq")
 
@@ -75,7 +87,9 @@ def metas(spark, folder) -> DataFrame:
     own = F.concat(F.lit(CORE + ".u"), F.col("user_id"), F.lit("."), F.col("event_type"))
     alias = F.concat(F.lit(TILE + ".lsu.u"), F.col("user_id"), F.lit("."), F.col("event_type"))
     names = F.when(F.col("user_id") % 7 == 0, F.array(own, alias)).otherwise(F.array(own))
-    return b.select("run_id", "signal_id", "event_type", "value", F.explode(names).alias("path"))
+    width = F.when(F.col("event_type") == "error", 1).otherwise(32).alias("bitwidth")
+    kind = F.when(F.col("event_type").isin("click", "view"), "wire").otherwise("reg").alias("var_type")
+    return b.select("run_id", "signal_id", "event_type", "value", width, kind, F.explode(names).alias("path"))
 
 
 def signal(spark, folder) -> DataFrame:
@@ -98,9 +112,9 @@ def both(spark, folder):
 
 @query("A01_signal_catalog", SQL + """
 , metas AS (
-  SELECT run_id, path, min(CASE WHEN value >= 6000 THEN signal_id + 1000000 ELSE signal_id END) AS signal_id
+  SELECT run_id, path, min(CASE WHEN value >= 6000 THEN signal_id + 1000000 ELSE signal_id END) AS signal_id, bitwidth, var_type
   FROM named GROUP BY ALL)
-SELECT run_id, path, signal_id, regexp_replace(path, '\\.[^.]*$', '') AS scope,
+SELECT run_id, path, signal_id, bitwidth, var_type, regexp_replace(path, '\\.[^.]*$', '') AS scope,
        split_part(path, '.', -1) AS name
 FROM metas WHERE NOT path LIKE '%.signup'
 """)
@@ -290,9 +304,9 @@ def a27(spark, folder):
 # ---- discovery and point-in-time -----------------------------------------------
 
 @query("B01_find_signals", SQL + """
-, r AS (SELECT run_id, path, row_number() OVER (PARTITION BY run_id ORDER BY path) AS rn, count(*) OVER (PARTITION BY run_id) > 50 AS truncated FROM signal
+, r AS (SELECT run_id, path, bitwidth, var_type, row_number() OVER (PARTITION BY run_id ORDER BY path) AS rn, count(*) OVER (PARTITION BY run_id) > 50 AS truncated FROM signal
         WHERE regexp_matches(path, 'u[0-9]*[02468]\\.(view|click)$'))
-SELECT run_id, path, truncated FROM r WHERE rn <= 50
+SELECT run_id, path, bitwidth, var_type, truncated FROM r WHERE rn <= 50
 """)
 def b01(spark, folder):
     return discover.find_signals(signal(spark, folder), r"u[0-9]*[02468]\.(view|click)$").drop("rank")
@@ -309,14 +323,20 @@ STATE = """
 """
 
 
-@query("B04_state_at", SQL + STATE + "SELECT run_id, path, value, last_change FROM state")
+KEPT = """
+, kept AS (SELECT run_id, path, arg_max(vs, seq) AS b, max(cycle) AS last_change FROM stored WHERE cycle <= 360 GROUP BY ALL)
+SELECT run_id, path, b.v AS value, b.s AS value_str, last_change FROM kept
+"""
+
+
+@query("B04_state_at", SQL + KEPT)
 def b04(spark, folder):
-    return asof.state_at(*both(spark, folder), CUT)
+    return asof.state_at(stored(spark, folder), signal(spark, folder), CUT)
 
 
-@query("B05_changed_only", SQL + STATE + "SELECT run_id, path, value, last_change FROM state WHERE last_change = 360")
+@query("B05_changed_only", SQL + KEPT + "WHERE last_change = 360")
 def b05(spark, folder):
-    return asof.changed_at(*both(spark, folder), CUT)
+    return asof.changed_at(stored(spark, folder), signal(spark, folder), CUT)
 
 
 @query("B06_scope_filter", SQL + STATE + """
@@ -330,31 +350,39 @@ def b06(spark, folder):
     return asof.state_at(wave(spark, folder), chosen, CUT)
 
 
-@query("B07_window", SQL + 'SELECT run_id, path, cycle, "time", value FROM named WHERE cycle BETWEEN 100 AND 420')
+@query("B07_window", SQL + 'SELECT run_id, path, cycle, "time", value, value_str FROM stored WHERE cycle BETWEEN 100 AND 420')
 def b07(spark, folder):
-    return asof.in_window(*both(spark, folder), 100, 420)
+    return asof.in_window(stored(spark, folder), signal(spark, folder), 100, 420)
 
 
 @query("B08_trace_signal", SQL + """
-, e AS (SELECT run_id, path, arg_max(cycle, seq) AS cycle, arg_max("time", seq) AS "time", arg_max(value, seq) AS value,
-               TRUE AS entering FROM named WHERE cycle <= 200 GROUP BY ALL)
-SELECT * FROM e UNION ALL SELECT run_id, path, cycle, "time", value, FALSE FROM named WHERE cycle > 200 AND cycle <= 500
+, e AS (SELECT run_id, path, arg_max(cycle, seq) AS cycle, arg_max("time", seq) AS "time", arg_max(vs, seq) AS b
+         FROM stored WHERE cycle <= 200 GROUP BY ALL)
+SELECT run_id, path, cycle, "time", b.v AS value, b.s AS value_str, TRUE AS entering FROM e
+UNION ALL SELECT run_id, path, cycle, "time", value, value_str, FALSE FROM stored WHERE cycle > 200 AND cycle <= 500
 """)
 def b08(spark, folder):
-    return asof.trace(*both(spark, folder), 200, 500)
+    return asof.trace(stored(spark, folder), signal(spark, folder), 200, 500)
 
 
 @query("B09_commits_near", SQL + """
 , anchors AS (SELECT DISTINCT run_id, cycle AS at FROM wave WHERE event_type = 'error' AND bit = 1)
 SELECT a.run_id, a.at, c.cseq AS seq, c.cycle, printf('0x%x', c.pc) AS pc, printf('0x%x', c.insn) AS insn,
-       printf('0x%x', c.wdata) AS wdata
+       '0x' || lpad(printf('%x', CAST(c.wdata + 8 AS BIGINT)), 16, '8000000000000000') AS wdata,
+       CAST(c.cseq % 4 AS INTEGER) AS priv, CASE WHEN c.wdata % 3 = 0 THEN 'f' ELSE 'x' END AS regfile, CAST(c.wdata % 32 AS INTEGER) AS rd
 FROM anchors a JOIN commits c ON a.run_id = c.run_id AND c.cycle BETWEEN a.at - 10 AND a.at + 10
 """)
 def b09(spark, folder):
     anchors = base(spark, folder).where("event_type = 'error' AND bit = 1").select(
         "run_id", F.col("cycle").alias("at")
     ).distinct()
-    return asof.commits_near(commits(spark, folder), anchors, 10)
+    # written registers hold sign-extended addresses
+    high = (F.lit("9223372036854775808").cast("decimal(20,0)") + F.col("wdata") + 8).cast("decimal(20,0)")
+    rows = commits(spark, folder).select(
+        "run_id", "seq", "cycle", "pc", "insn", high.alias("wdata"), (F.col("seq") % 4).cast("int").alias("priv"),
+        F.when(F.col("wdata") % 3 == 0, "f").otherwise("x").alias("regfile"), (F.col("wdata") % 32).cast("int").alias("rd"),
+    )
+    return asof.commits_near(rows, anchors, 10)
 
 
 @query("B10_inflight", SQL + STATE + """
@@ -372,11 +400,11 @@ def b11(spark, folder):
 
 @query("B12_snapshot", SQL + """
 , cuts AS (SELECT unnest([120, 360, 600])::BIGINT AS "at")
-SELECT run_id, path, "at", arg_max(value, seq) AS value, max(cycle) AS last_change
-FROM named JOIN cuts ON cycle <= "at" GROUP BY ALL
+, k AS (SELECT run_id, path, "at", arg_max(vs, seq) AS b, max(cycle) AS last_change FROM stored JOIN cuts ON cycle <= "at" GROUP BY ALL)
+SELECT run_id, path, "at", b.v AS value, b.s AS value_str, last_change FROM k
 """)
 def b12(spark, folder):
-    return asof.snapshot(*both(spark, folder), [120, 360, 600])
+    return asof.snapshot(stored(spark, folder), signal(spark, folder), [120, 360, 600])
 
 
 @query("B14_sql", SQL + """

@@ -14,11 +14,12 @@ def split_path(metas: DataFrame) -> DataFrame:
 
 
 def signal_catalog(metas: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """One row per name with its lowest id; names already stored are left alone.
+    """One row per name with its lowest id, and its width and kind if known; names already stored are left alone.
 
     A name is never dropped because another name has the same id.
     """
-    one = metas.groupBy("run_id", "path").agg(F.min("signal_id").alias("signal_id"))
+    known = [F.min_by(c, F.struct("signal_id", c)).alias(c) for c in ("bitwidth", "var_type") if c in metas.columns]
+    one = metas.groupBy("run_id", "path").agg(F.min("signal_id").alias("signal_id"), *known)
     if existing is not None:
         one = one.join(existing.select("run_id", "path"), ["run_id", "path"], "left_anti")
     return split_path(one)
