@@ -78,10 +78,10 @@ def _arrivals(fan: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def _merge(state: DataFrame, more: DataFrame) -> DataFrame:
-    both = state.unionByName(more.withColumn("done", F.lit(False)))
+    both = state.unionByName(more)
     same = lambda fn, *cs: [fn(c).alias(c) for c in cs]
     return both.groupBy(*STATE).agg(
-        *same(F.sum, "n_ok", "n_null"), *same(F.max, "v0", "v1", "v2", "ok0", "ok1", "ok2", "done"), *same(F.bit_and, "all_and"),
+        *same(F.sum, "n_ok", "n_null"), *same(F.max, "v0", "v1", "v2", "ok0", "ok1", "ok2"), *same(F.bit_and, "all_and"),
         *same(F.bit_or, "all_or", "joined"), *same(F.bit_xor, "all_xor"), *same(F.try_sum, "total"),
     )
 
@@ -95,8 +95,8 @@ def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame) -> DataFr
     A traced value wins. Registers and undefined names without one stay NULL, NULL
     propagates, a mux only needs its selector and the arm taken, and what never settles
     is a loop and NULL. Each round hands only newly settled values to the gates that read
-    them, so over all rounds every operand is joined once; a gate is a fixed-size state
-    that merges what arrives, however many inputs it has.
+    them, and what is delivered or belongs to a settled gate is left out of the next round;
+    a gate is a fixed-size state that merges what arrives, however many inputs it has.
     """
     held = F.when(F.col("value") < F.lit(str(1 << HELD)).cast("decimal(20,0)"), F.col("value")).cast("long").alias("value")
     known = traced.where("value IS NOT NULL").select("node", held)
@@ -112,23 +112,24 @@ def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame) -> DataFr
     settled = fresh = cut_lineage(known.unionByName(unknown.select("node", F.lit(None).cast("long").alias("value"), F.lit("unknown").alias("reason"))))
     mux = F.col("op") == "?:"
     arm = lambda a, b: F.when(F.col("v0") != 0, F.col(a)).otherwise(F.col(b))
-    ready = F.when(mux, F.col("ok0") & (F.col("v0").isNull() | arm("ok1", "ok2"))).otherwise(
+    ready = F.when(mux, (F.col("n_ok") == F.col("n")) | F.col("ok0") & (F.col("v0").isNull() | arm("ok1", "ok2"))).otherwise(
         (F.col("n_null") > 0) | (F.col("n_ok") == F.col("n"))
     )
     value = F.when(mux, F.when(F.col("v0").isNotNull(), arm("v1", "v2"))).otherwise(_result(F.col("op")))
     state, waiting = None, gated.count()
     while True:
         more = _arrivals(fan, fresh.select("node", "value"))
-        merged = _merge(state, more) if state is not None else more.withColumn("done", F.lit(False))
-        judged = merged.withColumn("fresh", ready & ~F.col("done")).withColumn("value", value.cast("long"))
-        judged = cut_lineage(judged)
+        merged = _merge(state, more) if state is not None else more
+        judged = cut_lineage(merged.withColumn("fresh", ready).withColumn("value", value.cast("long")))
+        delivered = fresh.select(F.col("node").alias("operand"))
         why = F.when(F.col("value").isNull(), F.when(F.col("width") > HELD, "wide").otherwise("unknown")).alias("reason")
         fresh = judged.where("fresh").select("node", "value", why)
         settled, news = settled.unionByName(fresh), fresh.count()
         waiting -= news
         if not news or not waiting:
             break
-        state = judged.withColumn("done", F.col("done") | F.col("fresh")).drop("fresh", "value")
+        state = judged.where("NOT fresh").drop("fresh", "value")
+        fan = cut_lineage(fan.join(delivered, "operand", "left_anti").join(fresh.select("node"), "node", "left_anti"))
     looped = gated.join(settled.select("node"), "node", "left_anti")
     return settled.unionByName(looped.select("node", F.lit(None).cast("long").alias("value"), F.lit("loop").alias("reason")))
 
