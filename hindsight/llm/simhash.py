@@ -176,29 +176,31 @@ def _within(bucket: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket[far], bucket[label[far]]
 
 
-def buckets(nodes: DataFrame, distance: int = DISTANCE, bits: int = BITS) -> list[DataFrame]:
+def buckets(nodes: DataFrame, distance: int = DISTANCE, bits: int = BITS, keys: tuple[str, ...] = ()) -> list[DataFrame]:
     """Tables of (members: array of (fp, rep)): each pair within ``distance`` is together in one of the arrays at least.
 
-    ``nodes`` (fp, rep) are distinct in fp and written; no array has more than ``BUCKET`` members.
+    ``nodes`` (fp, rep and ``keys``) are distinct in keys and fp, and written; pairs agree in their keys. No array has
+    more than ``BUCKET`` members.
     """
+    by = [*keys, "mask", "val"]
 
     def items(source: DataFrame, masks: list[int]) -> DataFrame:
         under = [F.struct(F.lit(_signed(m)).cast("long").alias("mask"), F.col("fp").bitwiseAND(_signed(m)).alias("val")) for m in masks]
-        return source.select(F.explode(F.array(*under)).alias("k"), "fp", "rep").select("k.*", "fp", "rep")
+        return source.select(*keys, F.explode(F.array(*under)).alias("k"), "fp", "rep").select(*keys, "k.*", "fp", "rep")
 
     masks = plan_masks(nodes, distance, bits)
     now, found = items(nodes, masks), []
     while masks:
-        counted = now.groupBy("mask", "val").agg(F.count(F.lit(1)).alias("c"))
-        large = cut_lineage(counted.where(F.col("c") > BUCKET).select("mask", "val"))
-        small = now.join(large, ["mask", "val"], "left_anti").groupBy("mask", "val").agg(F.collect_list(F.struct("fp", "rep")).alias("members"))
+        counted = now.groupBy(*by).agg(F.count(F.lit(1)).alias("c"))
+        large = cut_lineage(counted.where(F.col("c") > BUCKET).select(*by))
+        small = now.join(large, by, "left_anti").groupBy(*by).agg(F.collect_list(F.struct("fp", "rep")).alias("members"))
         found.append(small.where(F.size("members") > 1).select("members"))
         hot = {r["mask"] for r in large.select("mask").distinct().collect()}
         tree = {_signed(m): children for m in masks if _signed(m) in hot and (children := finer(m, distance, bits))}
         masks = sorted({m for children in tree.values() for m in children})
         if masks:
-            held = cut_lineage(now.join(large, ["mask", "val"], "left_semi"))
-            deeper = [items(held.where(F.col("mask") == mask).select("fp", "rep"), children) for mask, children in tree.items()]
+            held = cut_lineage(now.join(large, by, "left_semi"))
+            deeper = [items(held.where(F.col("mask") == mask).select(*keys, "fp", "rep"), children) for mask, children in tree.items()]
             now = deeper[0]
             for more in deeper[1:]:
                 now = now.unionByName(more)
