@@ -42,11 +42,14 @@ def read_slice(lines: DataFrame, start: int, count: int = MAX_SLICE, base: int =
 
 
 def tail(lines: DataFrame, count: int = MAX_SLICE, base: int = 0) -> DataFrame:
-    """The last ``count`` lines of every file with their own numbers."""
-    sized = lines.join(sizes(lines), FILE)
-    return sized.where(F.col("line_no") - base >= F.col("lines") - count).select(
-        *FILE, "line_no", "text", (F.col("lines") > count).alias("truncated")
-    )
+    """The last ``count`` lines of every file with their own numbers.
+
+    Numbers are dense, so the last one tells the length; lines before the last ``count``
+    are left out before anything is shuffled.
+    """
+    last = first_n(lines, FILE, [F.desc("line_no")], count)
+    length = F.max("line_no").over(W.partitionBy(*FILE)) - base + 1
+    return last.select(*FILE, "line_no", "text", (length > count).alias("truncated"))
 
 
 def grep(

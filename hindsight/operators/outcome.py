@@ -124,6 +124,11 @@ def baseline_passes(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def baseline_range(passes: DataFrame) -> DataFrame:
+    """The fewest and the most stimuli that any mutant passes unrepaired."""
+    return passes.agg(F.min("passed").alias("least"), F.max("passed").alias("most"), F.max("total").alias("of"))
+
+
 def baseline_violations(clean_runs: DataFrame) -> DataFrame:
     """Stimuli that fail or go unchecked on the unmodified design."""
     bad = clean_runs.where("NOT passed OR NOT oracle_active")

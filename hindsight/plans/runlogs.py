@@ -252,6 +252,14 @@ def f14(spark, folder):
     return outcome.baseline_passes(outcomes(spark, folder).withColumnRenamed("run_id", "mutant"))
 
 
+@query("F14_baseline_range", STIMULI + """
+, p AS (SELECT run_id, count(*) FILTER (outcome = 'passed') AS passed, count(*) AS total FROM o GROUP BY 1)
+SELECT min(passed) AS least, max(passed) AS most, max(total) AS of FROM p
+""")
+def f14_range(spark, folder):
+    return outcome.baseline_range(outcome.baseline_passes(outcomes(spark, folder).withColumnRenamed("run_id", "mutant")))
+
+
 @query("F11_divergence_cycle", SQL + "SELECT run_id, arg_max(cycle, seq) AS cycle FROM commits WHERE cycle IS NOT NULL GROUP BY 1")
 def f11(spark, folder):
     return outcome.divergence_cycle(commit_rows(spark, folder))
