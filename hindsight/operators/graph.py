@@ -111,6 +111,14 @@ def without_drivers(roots: DataFrame, steps: DataFrame) -> DataFrame:
     return roots.select("root").join(steps.where("depth > 0").select("root").distinct(), "root", "left_anti")
 
 
+def require_drivers(roots: DataFrame, steps: DataFrame) -> DataFrame:
+    """``steps``, or a ValueError that names a root nothing drives."""
+    bare = without_drivers(roots, steps).orderBy("root").limit(1).collect()
+    if bare:
+        raise ValueError(f"nothing drives {bare[0].root}")
+    return steps
+
+
 # ---- trees -----------------------------------------------------------------
 
 def instance_paths(nodes: DataFrame) -> DataFrame:

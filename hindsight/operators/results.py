@@ -122,6 +122,11 @@ def read_only_sql(spark: SparkSession, views: Mapping[str, DataFrame], text: str
     return out if limit is None else capped(out, [F.col(f"`{c}`") for c in out.columns], limit)
 
 
+def append_log(calls: DataFrame, path: str) -> None:
+    """Add calls (run_id, op, rows_out, truncated, ms) to the log of questions."""
+    calls.write.mode("append").parquet(path)
+
+
 def query_log_summary(log: DataFrame) -> DataFrame:
     """Calls, truncated answers, rows and time by run and operation."""
     return log.groupBy("run_id", "op").agg(

@@ -15,6 +15,7 @@ from hindsight.functions.names import file_of, to_absolute, to_relative
 from hindsight.operators import asof, discover, results
 from hindsight.operators.ordered import position
 from hindsight.plans.registry import query, table
+from hindsight.session import own_folder
 from hindsight.sources import changes, dump
 
 CORE, TILE, TILE_SCOPES = "top.core", "top.tile", ("lsu",)
@@ -133,7 +134,9 @@ def a02(spark, folder):
 
 @query("A03_change_load", SQL + 'SELECT run_id, signal_id, "time", cycle, value, seq FROM wave')
 def a03(spark, folder):
-    return wave(spark, folder)
+    path = own_folder(spark)
+    changes.write_changes(wave(spark, folder), path)
+    return changes.read_changes(spark, path).select(F.col("run_id").cast("long").alias("run_id"), "signal_id", "time", "cycle", "value", "seq")
 
 
 @query("A04_wide_value", """
@@ -451,7 +454,10 @@ def b17(spark, folder):
         "run_id", F.col("event_type").alias("op"), F.floor(F.col("value") / 100).alias("rows_out"),
         (F.col("value") >= 6000).alias("truncated"), F.col("value").alias("ms"),
     )
-    return results.query_log_summary(log)
+    path = own_folder(spark)
+    for part in (log.where("NOT truncated"), log.where("truncated")):
+        results.append_log(part, path)
+    return results.query_log_summary(spark.read.schema(log.schema).parquet(path))
 
 
 @query("B18_path_alias", SQL + """

@@ -37,6 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder of this application below the shared one."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read on from there.
 
@@ -45,6 +50,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     application are in one subfolder, which may go when the application has ended.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = own_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

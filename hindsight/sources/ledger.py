@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def read_ledger(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
     """JSON lines with the name of the file each row came from."""
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.json(path).withColumn("file", F.col("_metadata.file_name"))

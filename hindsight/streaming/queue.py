@@ -19,14 +19,19 @@ def follow_queue(
     """Append each newly arrived proposal that has no verdict and whose task is known.
 
     ``proposals`` and ``verified`` are folders of JSON lines. Every micro-batch is checked
-    against the verdicts present at that moment. A batch writes its own folder, so one
-    that is run again after a failure replaces itself.
+    against the verdicts present at that moment. Proposals whose task is not known yet are
+    kept beside the queue and come up again with the next batch. A batch writes its own
+    folders, so one that is run again after a failure replaces itself.
     """
+    waiting = f"{out.rstrip('/')}-waiting"
     arriving = spark.readStream.schema(schema).json(proposals)
 
     def take(batch: DataFrame, number: int) -> None:
         done = spark.read.schema(verified_schema).json(verified)
+        if number:
+            batch = batch.unionByName(spark.read.schema(schema).json(f"{waiting}/batch={number - 1}"))
         verify_queue(batch, done, tasks, cell).write.mode("overwrite").json(f"{out}/batch={number}")
+        batch.join(tasks.select("task"), "task", "left_anti").write.mode("overwrite").json(f"{waiting}/batch={number}")
 
     return (
         arriving.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

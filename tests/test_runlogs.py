@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from hindsight.operators import blame, evidence, graph, outcome, sites, study
 from hindsight.operators.resample import bootstrap_ci
-from hindsight.sources import netlist, runlog
+from hindsight.sources import ledger, netlist, runlog
+from hindsight.streaming import queue
 from tests.conftest import bag, order
 
 LOG = """C                  27: 3 0x0000000000010000 (0x00000517) auipc   a0, 0x0 x10 0x0000000000010000
@@ -384,3 +385,46 @@ def test_paths_end_on_a_cycle_of_parents(frame):
     nodes = frame("id long, parent long, name string, module string", (1, None, "top", "T"), (2, 1, "a", "A"), (3, 2, "b", "B"), (7, 8, "x", "X"), (8, 7, "y", "Y"), (9, 8, "z", "Z"))
     got = bag(graph.instance_paths(nodes), "id", "path")
     assert got == [(1, "top"), (2, "top.a"), (3, "top.a.b"), (7, None), (8, None), (9, None)]
+
+
+def test_errors_that_must_fire(frame):
+    roots, dep = frame("root string, node string", ("a", "a"), ("z", "z")), frame("node string, operand string, via string", ("a", "b", "data"))
+    steps = graph.backward_slice(roots, dep)
+    with pytest.raises(ValueError, match="nothing drives z"):
+        graph.require_drivers(roots, steps)
+    assert graph.require_drivers(roots.where("root = 'a'"), steps.where("root = 'a'")).count() == 2
+    with pytest.raises(ValueError, match="no site for task t2"):
+        sites.require_rederived(frame("task string, mutant_id string", ("t1", "x"), ("t2", None)))
+    runs = "stimulus string, passed boolean, oracle_active boolean"
+    with pytest.raises(ValueError, match="s2"):
+        outcome.require_clean_baseline(frame(runs, ("s1", True, True), ("s2", True, False)))
+    outcome.require_clean_baseline(frame(runs, ("s1", True, True)))
+
+
+def test_ledger_round_trip(spark, frame, tmp_path):
+    rows = frame("task string, n long", ("a", 1), ("b", None))
+    ledger.append_ledger(rows, str(tmp_path / "led"))
+    ledger.append_ledger(rows, str(tmp_path / "led"))
+    back = ledger.read_ledger(spark, str(tmp_path / "led"), rows.schema)
+    assert bag(back, "task", "n") == [("a", 1), ("a", 1), ("b", None), ("b", None)] and back.select("file").distinct().count() >= 2
+    ledger.write_summary(rows.groupBy().count(), str(tmp_path / "sum"))
+    assert spark.read.json(str(tmp_path / "sum")).first()["count"] == 2
+
+
+def test_queue_retries_what_waited(spark, frame, tmp_path):
+    """A proposal whose task comes later is queued with the batch after it."""
+    folder = {k: str(tmp_path / k) for k in ("in", "done", "out", "check", "tasks")}
+    schema = "task string, arm string, seed long, patch string"
+    frame(schema, ("none", "a", 1, "x")).where("false").write.json(folder["done"])
+    frame("task string", "t1").write.json(folder["tasks"])
+    frame(schema, ("t1", "a", 1, "p"), ("t2", "a", 1, "q")).coalesce(1).write.mode("append").json(folder["in"])
+
+    def follow():
+        tasks = spark.read.schema("task string").json(folder["tasks"])
+        queue.follow_queue(spark, folder["in"], schema, folder["done"], schema, tasks, folder["out"], folder["check"]).awaitTermination()
+        return bag(spark.read.schema(schema).json(f"{folder['out']}/*"), "task", "patch")
+
+    assert follow() == [("t1", "p")]
+    frame("task string", "t2").write.mode("append").json(folder["tasks"])
+    frame(schema, ("t1", "b", 1, "r")).coalesce(1).write.mode("append").json(folder["in"])
+    assert follow() == [("t1", "p"), ("t1", "r"), ("t2", "q")]
