@@ -121,13 +121,13 @@ def commits_near(commits: DataFrame, anchors: DataFrame, radius: int) -> DataFra
     )
 
 
-def rising_edges(wave: DataFrame, span: int) -> DataFrame:
+def rising_edges(wave: DataFrame, span: int | None = None) -> DataFrame:
     """Changes from 0 to 1."""
     steps = previous(wave, ID, ["time", "seq"], span, {"before": "value"})
     return steps.where("before = 0 AND value = 1").select(*ID, "time", "seq")
 
 
-def cycle_index_edges(wave: DataFrame, span: int) -> DataFrame:
+def cycle_index_edges(wave: DataFrame, span: int | None = None) -> DataFrame:
     """Edges numbered from 0; ``period`` only where all gaps are equal."""
     edges = cut_lineage(rising_edges(wave, span))
     one = F.lit(1).cast("long")
@@ -144,7 +144,7 @@ def cycle_index_counter(wave: DataFrame) -> DataFrame:
     return wave.select("run_id", "time", "seq", F.col("value").cast("long").alias("cycle"))
 
 
-def assign_cycle(wave: DataFrame, index: DataFrame, span: int) -> DataFrame:
+def assign_cycle(wave: DataFrame, index: DataFrame, span: int | None = None) -> DataFrame:
     """Cycle in effect at each change; NULL before the first index entry."""
     return asof_join(
         wave.drop("cycle"), index, ["run_id"], "time", "time", {"cycle": "cycle"}, span, right_tie=["seq"]
@@ -152,7 +152,7 @@ def assign_cycle(wave: DataFrame, index: DataFrame, span: int) -> DataFrame:
 
 
 def memory_hop(
-    reads: DataFrame, enables: DataFrame, addresses: DataFrame, cycle: int, span: int
+    reads: DataFrame, enables: DataFrame, addresses: DataFrame, cycle: int, span: int | None = None
 ) -> DataFrame:
     """The write that put the value a read port returns at ``cycle``.
 

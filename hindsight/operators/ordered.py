@@ -1,9 +1,13 @@
 """Running values along an ordered axis that stay balanced when one key is hot.
 
 A plain window over ``partitionBy(key)`` puts a whole key into one task. Here the
-axis is cut into chunks of ``span``; every chunk is a window partition of its own
-and what earlier chunks hand over is a one-row summary per chunk, built with a
-map-side combine. The largest sort is one chunk of one key.
+axis is cut into chunks; every chunk is a window partition of its own and what
+earlier chunks hand over is a one-row summary per chunk, built with a map-side
+combine. The largest sort is one chunk of one key.
+
+Chunks are ``span`` wide where the axis is known to be filled evenly, as line numbers
+and positions are. Without a span they are ranges of about as many rows each: the rows
+are dealt out by key and order and written, so that ranges stay as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    span: int,
+    span: int | None,
     *,
     last: Mapping[str, Column] | None = None,
     total: Mapping[str, Column] | None = None,
@@ -32,12 +36,15 @@ def running(
 ) -> DataFrame:
     """Add the latest non-null value of each ``last`` and the sum of each ``total``.
 
-    ``order[0]`` is the numeric axis, never NULL; together ``order`` must be a
+    ``order[0]`` is the axis, numeric if there is a span, never NULL; together ``order`` must be a
     total order within a key. ``strict`` leaves the current row out, ``reverse``
     looks at the rows after it.
     """
     last, total, keys = dict(last or {}), dict(total or {}), list(keys)
-    cut = df.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(span)))
+    if span is None:
+        cut = cut_lineage(df.repartitionByRange(*keys, *order).withColumn(CHUNK, F.spark_partition_id()))
+    else:
+        cut = df.withColumn(CHUNK, F.floor(F.col(order[0]) / F.lit(span)))
     place = F.struct(*order)
     pick = F.min_by if reverse else F.max_by
     parts = cut.groupBy(*keys, CHUNK).agg(
@@ -73,7 +80,7 @@ def running(
 
 
 def position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], span: int, out: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], span: int | None, out: str
 ) -> DataFrame:
     """1-based dense position of every row within its key."""
     return running(df, keys, order, span, total={out: F.lit(1).cast("long")})
@@ -94,7 +101,7 @@ def ranked(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
 
 
 def previous(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], span: int, cols: Mapping[str, str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], span: int | None, cols: Mapping[str, str]
 ) -> DataFrame:
     """``lag`` of ``cols`` (output name -> column); NULLs in the row before count."""
     box = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
@@ -103,7 +110,7 @@ def previous(
 
 
 def following(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], span: int, cols: Mapping[str, str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], span: int | None, cols: Mapping[str, str]
 ) -> DataFrame:
     """``lead`` of ``cols`` (output name -> column)."""
     box = F.struct(*[F.col(c).alias(n) for n, c in cols.items()])
@@ -118,7 +125,7 @@ def asof_join(
     left_at: str,
     right_at: str,
     take: Mapping[str, str],
-    span: int,
+    span: int | None,
     *,
     right_tie: Sequence[str] = (),
 ) -> DataFrame:

@@ -20,7 +20,6 @@ from hindsight.sources import changes, dump
 
 CORE, TILE, TILE_SCOPES = "top.core", "top.tile", ("lsu",)
 HOUR = 3_600_000_000
-WEEK = 168 * HOUR
 CUT = 360
 
 SQL = """
@@ -241,14 +240,14 @@ edges AS (SELECT run_id, signal_id, "time", seq FROM steps WHERE before = 0 AND
 
 @query("A09_rising_edges", EDGES + 'SELECT run_id, signal_id, "time" FROM edges')
 def a09(spark, folder):
-    return asof.rising_edges(bits(spark, folder), WEEK).drop("seq")
+    return asof.rising_edges(bits(spark, folder)).drop("seq")
 
 
 def counter(spark, folder) -> DataFrame:
     ticks = wave(spark, folder).join(
         base(spark, folder).where("event_type = 'signup'").select("seq"), "seq", "left_semi"
     )
-    return position(ticks, ["run_id"], ["time", "seq"], WEEK, "n").withColumn("value", F.col("n")).drop("n")
+    return position(ticks, ["run_id"], ["time", "seq"], None, "n").withColumn("value", F.col("n")).drop("n")
 
 
 COUNTER = SQL + """
@@ -269,7 +268,7 @@ p AS (SELECT signal_id, CASE WHEN min(gap) = max(gap) THEN min(gap) END AS perio
 SELECT run_id, signal_id, "time", cycle, period FROM g JOIN p USING (signal_id)
 """)
 def a11(spark, folder):
-    return asof.cycle_index_edges(bits(spark, folder), WEEK)
+    return asof.cycle_index_edges(bits(spark, folder))
 
 
 @query("A12_assign_cycle", COUNTER + """
@@ -278,7 +277,7 @@ FROM wave w ASOF LEFT JOIN idx i ON w.run_id = i.run_id AND w."time" >= i."time"
 """)
 def a12(spark, folder):
     index = asof.cycle_index_counter(counter(spark, folder))
-    return asof.assign_cycle(wave(spark, folder), index, WEEK).select("run_id", "signal_id", "time", "seq", "cycle")
+    return asof.assign_cycle(wave(spark, folder), index).select("run_id", "signal_id", "time", "seq", "cycle")
 
 
 @query("A27_run_artifact", SQL + """
@@ -498,7 +497,7 @@ def b19(spark, folder):
     enables = ports("click", "error").select("run_id", "mem", "port", "cycle", "seq", F.col("bit").alias("value"))
     addresses = ports("view", "signup").select("run_id", "mem", "port", "cycle", "seq", "addr")
     reads = b.where("event_type = 'purchase'").select("run_id", "mem", "cycle", "seq", "addr")
-    return asof.memory_hop(reads, enables, addresses, 600, 168)
+    return asof.memory_hop(reads, enables, addresses, 600)
 
 
 @query("B20_join_check", SQL + """

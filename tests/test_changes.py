@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from hindsight.functions.names import to_absolute, to_relative
 from hindsight.functions.values import hex_text, hex_to_u64
 from hindsight.operators import asof, discover, results, sites, stall
-from hindsight.operators.ordered import ranked
+from hindsight.operators.ordered import ranked, running
 from hindsight.sources import changes, dump, lines
 from tests.conftest import bag
 
@@ -251,3 +251,20 @@ def test_ranges_are_numbered_through(frame):
     assert got == [(p, k + 1) for k, (p, _) in enumerate(sorted(rows))]
     shards = sites.shard_of(frame("path string, i long", *rows), ["path"], 4)
     assert {r["shard"] for r in shards.collect()} == {0, 1, 2, 3}
+
+
+def test_ranges_of_rows_split_a_dense_run(spark, frame):
+    """All rows of one run at almost one time: the same running values, and no chunk holds them all."""
+    rows = [("r", 5 + i // 4000, i, i % 7 if i % 3 else None) for i in range(8000)]
+    df = frame("k string, t long, seq long, v long", *rows)
+    ask = {"last": {"latest": F.col("v")}, "total": {"n": F.lit(1).cast("long")}}
+    by_rows = running(df, ["k"], ["t", "seq"], None, **ask)
+    assert bag(by_rows) == bag(running(df, ["k"], ["t", "seq"], 1 << 20, **ask))
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"  # small tables may share a task
+    spark.conf.set(setting, "false")
+    try:
+        assert bag(running(df, ["k"], ["t", "seq"], None, **ask)) == bag(by_rows)
+        chunks = df.repartitionByRange("k", "t", "seq").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset(setting)
+    assert len(chunks) > 1 and max(r["count"] for r in chunks) < 6000
