@@ -57,7 +57,9 @@ class DigestIndex:
         """Append the digests of ``found`` (doc_id, digest) that the index lacks, each with its largest id."""
         new = found.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
         fresh = new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        out = fresh.select("digest", "keep_id", F.lit(batch).alias("batch")).repartition(self.buckets, "digest")
+        # by bucket, so that a batch adds one file to each whatever the number of tasks
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))
+        out = fresh.select("digest", "keep_id", F.lit(batch).alias("batch")).repartition(self.buckets, bucket)
         out.write.insertInto(self.name)
 
 
