@@ -148,3 +148,13 @@ def test_repeats_of_every_kind(spark):
 
 def test_repeats_empty(no_docs):
     assert substrings.remove_repeats(no_docs).collect() == []
+
+
+def test_near_copies_behind_an_unrelated_text(frame):
+    """Texts of the same distinct words: a pair of near copies is found though a third comes first."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(200)]
+    shuffled = [" ".join(rng.permutation(words)) for _ in range(4)]
+    rows = [(1, shuffled[0]), (2, shuffled[1]), (3, shuffled[1] + " w0 w1 w2"), (4, shuffled[2]), (5, shuffled[3]), (6, "w9 w8 " + shuffled[3])]
+    docs = frame("doc_id long, text string", *rows)
+    assert {r["doc_id"] for r in near_copies.duplicates(docs).collect()} == {3, 6}
