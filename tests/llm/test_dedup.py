@@ -158,3 +158,37 @@ def test_near_copies_behind_an_unrelated_text(frame):
     rows = [(1, shuffled[0]), (2, shuffled[1]), (3, shuffled[1] + " w0 w1 w2"), (4, shuffled[2]), (5, shuffled[3]), (6, "w9 w8 " + shuffled[3])]
     docs = frame("doc_id long, text string", *rows)
     assert {r["doc_id"] for r in near_copies.duplicates(docs).collect()} == {3, 6}
+
+
+def plain_groups(rows):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words_of((t or "").translate(UP)) for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return {(rows[i][0], rows[r][0]) for i, r in enumerate(root) if root.count(r) > 1}
+
+
+def test_near_copies_are_all_found(frame):
+    """Pairs at exactly 0.8 and about it, of every length, and crowds of them in parts; as a comparison of all pairs finds."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(60):
+        n = int(rng.integers(5, 120))
+        base = [f"t{k}_{i}" for i in range(n)]
+        more = int((n - 4) * rng.choice([0.15, 0.25, 0.25, 0.3]))
+        texts += [base, base + [f"n{k}_{i}" for i in range(more)]]
+    crowd = [f"c{i}" for i in range(60)]
+    for _ in range(40):
+        some = list(crowd)
+        for i in rng.integers(0, 60, 2):
+            some[i] = f"x{rng.integers(0, 6)}"
+        texts.append(some)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = frame("doc_id long, text string", *rows)
+    want = plain_groups(rows)
+    assert len(want) > 80
+    for bucket in (1024, 4):
+        assert {(r["doc_id"], r["group"]) for r in near_copies.groups(docs, bucket=bucket).collect()} == want
