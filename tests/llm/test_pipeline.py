@@ -61,3 +61,12 @@ def test_registered(spark):
     con = connect(FOLDER)
     for name, sql in ORACLES.items():
         assert compare(spark, con, QUERIES[name], sql, FOLDER)[0] == ""
+
+
+def test_near_keys_on_id_and_text(spark, frame):
+    """A repeated id loses only the text that is a near copy; near copies without an id are looked at, too."""
+    base, other = " ".join(f"a{i}" for i in range(90)), " ".join(f"b{i}" for i in range(90))
+    rows = [(1, base), (2, base + " end"), (2, "a clean text of its own with many words"), (None, other), (None, other + " end")]
+    docs = frame("doc_id long, text string", *rows)
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, docs, FOLDER).collect()}
+    assert {(1, base), (2, rows[2][1])} < left and len(left) == 3 and {r[1] for r in left if r[0] is None} < {other, other + " end"}
