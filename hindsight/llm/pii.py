@@ -35,7 +35,9 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|(?<= )at(?= )) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|(?<= )dot(?= )|\.) ?[A-Za-z0-9-]{2,63}+){1,4}",
+    # a bare "at" is a common word: next to it a dot with a space behind it alone ends a sentence
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?: ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\(dot\)|\[dot\]|(?<= )dot(?= )|\.) ?[A-Za-z0-9-]{2,63}+){1,4}"
+    r"| at [A-Za-z0-9-]{1,63}+(?:(?: ?(?:\(dot\)|\[dot\]) ?| dot | \. |\.)[A-Za-z0-9-]{2,63}+){1,4})",
     "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{2,7}(?![0-9A-Za-z])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])",
@@ -47,7 +49,7 @@ NEEDS = {
     "card": "text rlike '[0-9][ -]?[0-9]'",
     "phone": "contains(text, '+')",
 }
-NEEDS_LOOSE = NEEDS | {"email": "contains(text, '(at)') or contains(text, '[at]') or contains(text, ' dot ')", "card": "text rlike '[0-9]{4}'"}
+NEEDS_LOOSE = NEEDS | {"email": "contains(text, '(at)') or contains(text, '[at]') or contains(text, ' at ')", "card": "text rlike '[0-9]{4}'"}
 
 # gazetteers
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"

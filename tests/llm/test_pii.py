@@ -71,6 +71,18 @@ def test_neighbours_are_added(frame):
     assert found[102] == ""
 
 
+def test_each_spelling_of_an_address_is_proposed(frame):
+    """Alone in its text, with nothing else that the filter looks for; ends of sentences are no addresses."""
+    dots = [".", " . ", "(dot)", "[dot]", " (dot) ", " [dot] ", " dot "]
+    spelt = [f"jane{at}example{dot}com" for at in (" at ", "(at)", "[at]", " (at) ", " [at] ") for dot in dots]
+    docs = frame("doc_id long, text string", *enumerate(f"so {x}, then" for x in spelt), (100, "He looked at him. She was at home. It rained."))
+    got = {r["doc_id"]: [(s["start"], s["stop"]) for s in r["more"]] for r in pii.find_spans(docs).select("row.doc_id", "more").collect()}
+    assert got == {i: [(3, 3 + len(x))] for i, x in enumerate(spelt)} | {100: []}
+    rows = [(i, f"mail a{i}@example.com now") for i in range(40)] + [(100, "so jane at example.com, then")]
+    found = pii.with_spans(frame("doc_id long, text string", *rows), keep=["doc_id"]).where("row.doc_id = 100")
+    assert found.select(pii.written("spans")).first()[0] == "email:3:22"
+
+
 def test_estimate_tells_labelers_apart(frame):
     told = frame("kind int, votes string, n long", (0, "11111", 500), (0, "21212", 40), (0, "20200", 400), (0, "20220", 200))
     posterior = {r["votes"]: r["posterior"] for r in pii.estimate(told).collect()}
