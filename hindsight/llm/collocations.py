@@ -306,7 +306,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, covered: int = COV
     codes = find_codes(words, least, table)
     singles = cut_lineage(_coded(words.where(F.col("n") >= least), codes))
     counts = cut_lineage(phrase_counts(edges_of(paths(docs, codes, tokens)), least))
-    left = cut_lineage(uncovered(score(counts, singles), counts))
+    left = cut_lineage(uncovered(score(counts, singles), counts, covered))
 
     place = left.select("lang", *_WORDS, F.posexplode(F.array(*_WORDS)).alias("i", "code")).where("code <> 0")
     named = place.join(singles.select("lang", "code", "word"), ["lang", "code"]).groupBy("lang", *_WORDS).agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("words"))
