@@ -1,26 +1,78 @@
-"""Seeded resampling with replacement, as joins and partial sums.
+"""Seeded resampling as weighted sums: every row draws its own weight for every replicate.
 
-The draw of replicate ``r`` at position ``i`` is a fixed mix of (r, i), so a result can
-be recomputed anywhere, whatever the partitioning.
+The weight of a row in replicate ``r`` is a Poisson number of mean 1, looked up by a fixed mix of (r, key of the row).
+So rows need neither positions nor a look at one another, a result can be recomputed anywhere whatever the
+partitioning, and a group of any size is summed where its rows are: a task hands over one vector of replicates for each
+group, and one shuffle adds these up. For groups of more than a few rows the intervals are those of drawing as many
+rows as there are.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hindsight.functions.mixing import mix32
-from hindsight.operators.ordered import position
-from hindsight.session import cut_lineage
+from hindsight.functions.mixing import ROUND, SEED_A, SEED_B
 
 REPS = 10_000
-BROADCAST_ROWS = 200_000
-DRAWS_PER_TASK = 125_000
-BLOCK = 100
+#: Replicates and rows that are weighed at a time; numbers a task holds before it hands sums over.
+REP_BLOCK, ROW_BLOCK, HELD = 512, 4096, 1 << 23
+
+
+def poisson_steps(bits: int = 16) -> list[int]:
+    """Where the weight grows by one, for numbers of ``bits`` bits: the distribution function in whole parts."""
+    steps, upto, k = [], 0.0, 0
+    while True:
+        upto += math.exp(-1) / math.factorial(k)
+        step = round(upto * (1 << bits))
+        if step >= 1 << bits:
+            return steps
+        steps.append(step)
+        k += 1
+
+
+def weight_sql(u: str) -> str:
+    """The weight that belongs to a number of 16 bits."""
+    return "(" + " + ".join(f"({u} >= {s})::INTEGER" for s in poisson_steps()) + ")"
+
+
+def _weight_table() -> np.ndarray:
+    return np.searchsorted(poisson_steps(), np.arange(1 << 16), side="right").astype(np.float64)
+
+
+def _weights(reps: np.ndarray, keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Weights of all ``keys`` in all ``reps``; the mix is that of ``mix32``, in arithmetic that wraps at 32 bits."""
+    x = (reps.astype(np.uint32) * np.uint32(SEED_A))[:, None] + (keys.astype(np.uint64).astype(np.uint32) * np.uint32(SEED_B))[None, :]
+    for _ in range(2):
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(ROUND)
+    x ^= x >> np.uint32(16)
+    return table[x >> np.uint32(16)]
+
+
+def weighted_sums(keys: np.ndarray, values: np.ndarray, reps: int, table: np.ndarray | None = None) -> np.ndarray:
+    """Sums of the weights and of each row of ``values`` (int64) in all replicates, exactly.
+
+    Values take part in halves of 32 bits, so products of doubles stay whole.
+    """
+    table = _weight_table() if table is None else table
+    out = np.zeros((1 + len(values), reps), np.int64)
+    for r in range(0, len(keys), ROW_BLOCK):
+        part = values[:, r : r + ROW_BLOCK]
+        ones = np.ones((1, part.shape[1]))
+        parts = np.concatenate([ones, (part & 0xFFFFFFFF).astype(np.float64), (part >> 32).astype(np.float64)])
+        for b in range(0, reps, REP_BLOCK):
+            sums = (parts @ _weights(np.arange(b, min(b + REP_BLOCK, reps)), keys[r : r + ROW_BLOCK], table).T).astype(np.int64)
+            low, high = sums[1 : 1 + len(values)], sums[1 + len(values) :]
+            out[0, b : b + REP_BLOCK] += sums[0]
+            out[1:, b : b + REP_BLOCK] += low + (high << 32)
+    return out
 
 
 def replicate_sums(
@@ -28,34 +80,48 @@ def replicate_sums(
 ) -> DataFrame:
     """(groups, rep, n, sum of each col) over ``reps`` resamples of each group.
 
-    ``groups`` names at least one column. ``key`` is a numeric identity that fixes the
-    order of the values. Values are summed as integers of ``scale`` decimals, so a sum
-    does not depend on the order of its parts. Replicates are made where the rows are;
-    only one partial sum per replicate and task is shuffled.
+    ``groups`` names at least one column. ``key`` is a whole number that tells the rows of a group apart; equal keys get
+    equal weights, in other groups too. Values are summed as integers of ``scale`` decimals. ``n`` is the sum of the
+    weights. A replicate in which no row got a weight stands for the rows as they are.
     """
-    groups = list(groups)
+    groups, cols = list(groups), list(cols)
     units = [(F.col(c) * F.lit(10**scale)).cast("long").alias(c) for c in cols]
-    slot = position(values.select(*groups, key, *units), groups, [key], 1 << 20, "_n")
-    slot = cut_lineage(slot.select(*groups, (F.col("_n") - 1).alias("_slot"), *cols))
-    rows = slot.count()
-    sizes = slot.groupBy(*groups).agg(F.count("*").alias("n"))
-    tasks = max(1, min(20_000, math.ceil(rows * reps / DRAWS_PER_TASK)))
-    blocks = slot.select(*groups, F.col("_slot").alias("_i")).join(sizes, groups).withColumn(
-        "_from", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(BLOCK)))
-    )
-    upto = F.least(F.col("_from") + (BLOCK - 1), F.lit(reps - 1))
-    draw = mix32(F.col("rep"), F.col("_i"))
-    picked = (
-        blocks.repartition(tasks, "_from", "_i")
-        .select(*groups, "n", "_i", F.explode(F.sequence(F.col("_from"), upto)).alias("rep"))
-        .select(*groups, "rep", "n", (draw % F.col("n")).alias("_slot"))
-    )
-    if rows <= BROADCAST_ROWS:
-        slot = F.broadcast(slot)
+    rows = values.select(*groups, F.col(key).cast("long").alias("_key"), *units).where(F.col("_key").isNotNull())
+    kinds = dict(rows.dtypes)
+    sums, plain = ["n", *cols], ["_n", *[f"_{c}" for c in cols]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held, schema = _weight_table(), {}, None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for group, (some, all_) in held.items():
+                named = [pa.array([g], f.type).take(pa.array(np.zeros(reps, np.int64))) for g, f in zip(group, schema, strict=False)]
+                rest = [pa.array(np.full(reps, x, np.int64)) for x in all_]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(np.arange(reps, dtype=np.int32)), *map(pa.array, some), *rest], [*groups, "rep", *sums, *plain])
+
+        for batch in batches:
+            schema = batch.schema
+            ids: dict[tuple, int] = {}
+            of = np.array([ids.setdefault(g, len(ids)) for g in zip(*(batch[c].to_pylist() for c in groups), strict=True)], np.int64)
+            keys = batch["_key"].to_numpy(zero_copy_only=False)
+            table_of = np.array([batch[c].fill_null(0).to_numpy(zero_copy_only=False) for c in cols], np.int64).reshape(len(cols), -1)
+            order = np.argsort(of, kind="stable")
+            ends = np.cumsum(np.bincount(of, minlength=len(ids)))
+            for group, i in ids.items():
+                at = order[ends[i - 1] if i else 0 : ends[i]]
+                some, all_ = held.setdefault(group, (np.zeros((len(sums), reps), np.int64), np.zeros(len(sums), np.int64)))
+                some += weighted_sums(keys[at], table_of[:, at], reps, table)
+                all_ += np.concatenate([[len(at)], table_of[:, at].sum(axis=1)])
+                if len(held) * len(sums) * reps > HELD:
+                    yield from told()
+                    held.clear()
+        yield from told()
+
+    columns = ", ".join([*(f"`{g}` {kinds[g]}" for g in groups), "rep int", *(f"`{c}` bigint" for c in [*sums, *plain])])
+    added = rows.mapInArrow(run, columns).groupBy(*groups, "rep").agg(*[F.sum(c).alias(c) for c in [*sums, *plain]])
+    chosen = {c: F.when(F.col("n") == 0, F.col(p)).otherwise(F.col(c)) for c, p in zip(sums, plain, strict=True)}
     unit = F.lit(float(10**scale))
-    return picked.join(slot, [*groups, "_slot"]).groupBy(*groups, "rep", "n").agg(
-        *[(F.sum(c) / unit).alias(c) for c in cols]
-    )
+    return added.select(*groups, "rep", chosen["n"].alias("n"), *[(chosen[c] / unit).alias(c) for c in cols])
 
 
 def percentile_interval(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hindsight.functions.mixing import mix32_sql
 from hindsight.operators import study
-from hindsight.operators.resample import bootstrap_ci
+from hindsight.operators.resample import bootstrap_ci, weight_sql
 from hindsight.plans.registry import query, table
 
 ARMS = ("O", "F")
@@ -56,13 +56,16 @@ pairs AS (SELECT o.task, o.rate AS a, f.rate AS b, o.rate - f.rate AS diff FROM
 def boot(source: str, group: str, cols: str) -> str:
     """SQL of the resampled sums of ``source`` (group, task, cols)."""
     names = [c.strip() for c in cols.split(",")]
-    sums = ", ".join(f"sum(v.{c}) AS {c}" for c in names)
+    drawn = ", ".join(f"sum(w * {c}) AS {c}" for c in names)
+    plain = ", ".join(f"sum({c}) AS {c}" for c in names)
+    chosen = ", ".join(f"CASE WHEN d.n = 0 THEN p.{c} ELSE d.{c} END AS {c}" for c in ["n", *names])
     return f"""
-, vals AS (SELECT {group} AS grp, {cols}, row_number() OVER (PARTITION BY {group} ORDER BY task) - 1 AS slot,
-                  count(*) OVER (PARTITION BY {group}) AS n FROM {source}),
-draws AS (SELECT grp, n, r.rep, {mix32_sql('r.rep', 'slot')} % n AS j
-          FROM vals CROSS JOIN (SELECT unnest(range(10000)) AS rep) r),
-sums AS (SELECT d.grp, d.rep, d.n, {sums} FROM draws d JOIN vals v ON v.grp = d.grp AND v.slot = d.j GROUP BY d.grp, d.rep, d.n)
+, vals AS (SELECT {group} AS grp, task, {cols} FROM {source}),
+mixed AS (SELECT v.*, r.rep, {mix32_sql('r.rep', 'task')} >> 16 AS u FROM vals v CROSS JOIN (SELECT unnest(range(10000)) AS rep) r),
+weighed AS (SELECT grp, rep, {cols}, {weight_sql('u')} AS w FROM mixed),
+drawn AS (SELECT grp, rep, sum(w) AS n, {drawn} FROM weighed GROUP BY grp, rep),
+plain AS (SELECT grp, count(*) AS n, {plain} FROM vals GROUP BY grp),
+sums AS (SELECT d.grp, d.rep, {chosen} FROM drawn d JOIN plain p ON p.grp = d.grp)
 """
 
 

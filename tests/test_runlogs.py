@@ -1,12 +1,14 @@
 """Log text, outcomes, netlists and graphs on small literal inputs."""
 
+import math
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hindsight.operators import blame, evidence, graph, outcome, sites, study
-from hindsight.operators.resample import bootstrap_ci
+from hindsight.operators.resample import bootstrap_ci, weighted_sums
 from hindsight.sources import ledger, netlist, runlog
 from hindsight.streaming import queue
 from tests.conftest import bag, order
@@ -312,20 +314,50 @@ def test_permutation_baseline_by_brute_force(frame):
     assert got.permuted == pytest.approx(sum(pairs) / len(pairs))
 
 
-def test_bootstrap_agrees_with_a_loop(frame):
+def mixed_weight(rep, key):
+    """Poisson weight of a row, one step after the other."""
     mask = 0xFFFFFFFF
+    x = (rep * 2654435761 + key * 40503) & mask
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * 0x45D9F3B) & mask
+    u = ((x ^ (x >> 16)) >> 16) / 65536
+    upto, term, k = 0.0, math.exp(-1), 0
+    while True:
+        upto += term
+        if u < round(upto * 65536) / 65536:
+            return k
+        k += 1
+        term /= k
+
 
-    def mix(a, b):
-        x = (a * 2654435761 + b * 40503) & mask
-        for _ in range(2):
-            x = ((x ^ (x >> 16)) * 0x45D9F3B) & mask
-        return x ^ (x >> 16)
-
-    values = [0.0, 0.25, 0.5, 1.0, 1.0, 0.125]
-    means = sorted(sum(values[mix(r, i) % 6] for i in range(6)) / 6 for r in range(1000))
-    df = frame("g int, task int, v double", *[(1, i, v) for i, v in enumerate(values)])
-    got = bootstrap_ci(df, ["g"], "task", ["v"], reps=1000).first()
-    assert (got.v_lo, got.v_hi) == (pytest.approx(means[25]), pytest.approx(means[975]))
+def test_bootstrap_agrees_with_a_loop(frame):
+    values = {3: 0.0, 8: 0.25, 9: 0.5, 12: 1.0, 40: 1.0, 41: 0.125}
+    groups = {1: values, 2: {7: 0.5}, 3: {k: -v - 4e8 for k, v in values.items()}}
+    df = frame("g int, task int, v double", *[(g, k, v) for g, rows in groups.items() for k, v in rows.items()]).repartition(4)
+    got = {r.g: (r.v_lo, r.v_hi) for r in bootstrap_ci(df, ["g"], "task", ["v"], reps=1000).collect()}
+    for g, rows in groups.items():
+        means = []
+        for rep in range(1000):
+            w = {k: mixed_weight(rep, k) for k in rows}
+            # a replicate without weight stands for the rows as they are
+            w = w if sum(w.values()) else dict.fromkeys(rows, 1)
+            means.append(sum(w[k] * v for k, v in rows.items()) / sum(w.values()))
+        means.sort()
+        assert got[g] == (pytest.approx(means[25]), pytest.approx(means[975])), g
+
+
+def test_weighted_sums_are_whole():
+    keys = np.arange(10_000)
+    values = np.array([keys * 10**11 - 3 * 10**14, np.where(keys % 2, -1, 1)], np.int64)
+    got = weighted_sums(keys, values, 7)
+    for rep in (0, 6):
+        w = [mixed_weight(rep, int(k)) for k in keys]
+        assert got[:, rep].tolist() == [sum(w), *(sum(a * int(v) for a, v in zip(w, row)) for row in values)]
+    assert abs(got[0].mean() - 10_000) < 300
+
+
+def test_bootstrap_of_nothing(frame):
+    assert bootstrap_ci(frame("g int, task int, v double"), ["g"], "task", ["v"], reps=100).collect() == []
 
 
 def test_follow_queue(spark, tmp_path, frame):
