@@ -1,6 +1,7 @@
 """Log text, outcomes, netlists and graphs on small literal inputs."""
 
 import math
+import random
 from decimal import Decimal
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hindsight.operators import blame, evidence, graph, outcome, sites, study
 from hindsight.operators.resample import bootstrap_ci, weighted_sums
-from hindsight.sources import ledger, netlist, runlog
+from hindsight.sources import ledger, nesting, netlist, runlog
 from hindsight.streaming import queue
 from tests.conftest import bag, order
 
@@ -149,6 +150,60 @@ def test_every_statement_of_a_nested_block(frame):
     }
 
 
+def plain_nesting(lines):
+    """(line_no, within, conditions) of statements, each from all lines before it, by definition."""
+    nest, events, out, kept = 0, [], [], []
+    for n, r in enumerate(lines):
+        nest += r["step"]
+        if r["step"]:
+            events.append((nest - 1 if r["step"] == 1 else max(nest, 0), r["step"] == 1 and r["scaffold"]))
+        open_ = [k for k in range(9) if [e for e in events if e[0] <= k][-1:] == [(k, True)]]
+        if not r["step"] and not open_:
+            kept.append((n, r))
+    for i, (n, r) in enumerate(kept):
+        starts = [j for j in range(i + 1) if kept[j][1]["always"]]
+        after = lambda j: sum(kept[k][1]["delta"] for k in range([s for s in starts if s <= j][-1], j + 1))
+        left = [j for j in range(i) if starts and j >= starts[0] and after(j) <= 0 and kept[j][1]["ends"] and not kept[j][1]["names_always"]]
+        r["within"] = bool(starts) and not (left and left[-1] >= starts[-1])
+        r["level"], r["load"] = None, None
+        if r["always"]:
+            r["level"] = 0
+        elif r["within"] and (r["cond"] is not None or r["is_else"]):
+            r["level"], r["load"] = max(after(i) - r["delta"], 0), r["cond"]
+        held = []
+        for k in range(30):
+            last = [x for _, x in kept[: i + 1] if x["level"] is not None and x["level"] <= k][-1:]
+            if last and last[0]["level"] == k and last[0]["load"] is not None:
+                held.append(last[0]["load"])
+        if r["q"]:
+            out.append((n, r["within"], tuple(held)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_nesting_composes(spark, seed):
+    """Chunks of any size give what the whole history of each line gives, unbalanced text too."""
+    rng = random.Random(seed)
+    rows = []
+    for module in "AB":
+        for n in range(70):
+            step = rng.choice([0] * 12 + [1, -1])
+            always = not step and rng.random() < 0.06
+            delta = 0 if step else rng.choice([0, 0, 0, 1, 1, -1, -1, -2])
+            cond = f"c{n}" if not step and not always and rng.random() < 0.3 else None
+            rows.append({
+                "module": module, "line_no": n, "step": step, "scaffold": step == 1 and rng.random() < 0.5, "always": always, "delta": delta,
+                "ends": delta < 0 or rng.random() < 0.1, "names_always": always or rng.random() < 0.05, "cond": cond,
+                "is_else": cond is None and not always and not step and rng.random() < 0.15, "q": "x" if rng.random() < 0.6 else None,
+            })
+    schema = "module string, line_no long, step int, scaffold boolean, always boolean, delta long, ends boolean, names_always boolean, cond string, is_else boolean, q string"
+    lines = spark.createDataFrame([tuple(r.values()) for r in rows], schema).repartition(3)
+    want = sorted((m, *x) for m in "AB" for x in plain_nesting([dict(r) for r in rows if r["module"] == m]))
+    for span in (1, 4, 13, 1000) if seed < 2 else (5,):
+        found = nesting.enclosed(lines, F.col("q").isNotNull(), span).collect()
+        assert sorted((r.module, r.line_no, r.within, tuple(r.conditions)) for r in found) == want, span
+
+
 GATES = "node string, op string, width int, hi int, lo int"
 OPERANDS = "node string, pos long, operand string, shift int, operand_width int"
 
