@@ -4,7 +4,8 @@ Texts repeat a modest stock of chunks (what stands between white space), so term
 
 1. Each task counts the chunks of its documents, document by document, and hands over one row for each language, source
    and chunk: occurrences, documents, the least and the largest document.
-2. Rows meet by chunk. Each different chunk of the whole corpus is split into terms once, and its terms are joined back.
+2. Rows meet by chunk. Each different chunk of the whole corpus becomes one row with its counts by language and source
+   and is split into terms once, which brings the terms back to all counts of the chunk.
 3. Occurrences are summed by language, source and term. A term's documents are counted exactly as far as ``LEAST`` asks:
    a chunk in that many documents settles its terms; of a rarer chunk the least and the largest document are all it has,
    so the documents of its terms are distinct counts over those.
@@ -107,16 +108,19 @@ def term_counts(docs: DataFrame, least: int = LEAST, tokens: int = TOKENS) -> Da
     if not 1 <= least <= 3:
         raise ValueError("documents can be settled up to 3")
     rows = chunk_counts(docs, tokens).repartition("chunk")
-    chunks = rows.groupBy("chunk", "lang", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    terms = chunks.select("chunk").distinct().select("chunk", F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)).alias("terms"))
-    joined = chunks.join(terms.where(F.size("terms") > 0), "chunk")
+    sums = [F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    # all of a chunk is in one task by now; its lists are as long as there are sources
+    by_source = rows.groupBy("chunk", "lang", "source").agg(F.sum("n").alias("n"), *sums)
+    by_lang = by_source.groupBy("chunk", "lang").agg(*sums, F.collect_list(F.struct("source", "n")).alias("by"))
+    by_chunk = by_lang.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs", "lo", "hi", "by")).alias("langs"))
+    found = cut_lineage(by_chunk.select(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0)).alias("terms"), "langs"))
 
-    counts = joined.select("lang", "source", F.explode("terms").alias("term"), "n").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    joined = found.select(F.explode("terms").alias("term"), "langs").select("term", F.inline("langs")).select("lang", "term", F.inline("by"))
+    counts = joined.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
 
-    by_lang = joined.groupBy("chunk", "lang").agg(F.first("terms").alias("terms"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     settled = F.col("docs") >= least
-    seen = by_lang.select(
-        "lang", F.explode(F.array_distinct("terms")).alias("term"), settled.alias("settled"),
+    seen = found.select(F.explode(F.array_distinct("terms")).alias("term"), "langs").select("term", F.inline("langs")).select(
+        "lang", "term", settled.alias("settled"),
         F.when(settled, F.array(F.lit(None).cast("bigint"))).otherwise(F.array_distinct(F.array("lo", "hi"))).alias("in"),
     )
     each = seen.select("lang", "term", "settled", F.explode("in").alias("row")).groupBy("lang", "term", "row").agg(F.max("settled").alias("settled"))
