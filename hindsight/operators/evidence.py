@@ -7,9 +7,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -87,57 +86,64 @@ def search_source(
     return grep(chosen, pattern, context, limit, ["run_id"], base)
 
 
-def _gestalt():
-    """Matching-block similarity of every (probe, line) row of a batch."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from difflib import SequenceMatcher
+def _gram_size(cutoff: float) -> int:
+    """The longest grams of which texts of the cutoff's similarity must share some; 0 if there are none of 2 or more."""
+    return max((q for q in (2, 3, 4) if q * (1 - cutoff) < 1), default=0)
 
-        for b in batches:
-            matcher, probe, out = SequenceMatcher(), None, []
-            for want, line in zip(b["probe"], b["line"]):
-                if want != probe:
-                    probe = want
-                    matcher.set_seq2(want)
-                matcher.set_seq1(line)
-                out.append(matcher.ratio())
-            yield b.assign(similarity=out)
 
-    return run
+def _shared(length: Column, q: int, cutoff: float) -> Column:
+    """How many grams of ``q`` a text shares at least with any text at ``cutoff`` that is no longer than it."""
+    return F.ceil(length * (1 - q * (1 - cutoff)) - 1e-9) - q + 1
 
 
-def nearest_lines(
-    probes: DataFrame, lines: DataFrame, k: int = 2, cutoff: float = 0.5, metric: str = "ratio"
-) -> DataFrame:
+def _rare_grams(rows: DataFrame, text: str, counts: DataFrame | None, q: int, cutoff: float) -> tuple[DataFrame, DataFrame]:
+    """(FILE, text, gram) with enough of each text's rarest grams to meet all partners, and (FILE, gram, n) of ``rows``.
+
+    The n-th time a text holds a gram counts as a gram of its own, so shared grams are counted with repeats.
+    """
+    n = F.length(text)
+    every = rows.where(_shared(n, q, cutoff) >= 1).select(*FILE, text, F.explode(F.sequence(F.lit(1), n - q + 1)).alias("_at"))
+    gram = F.substring(F.col(text), F.col("_at"), F.lit(q))
+    held = every.select(*FILE, text, gram.alias("_g")).groupBy(*FILE, text, "_g").agg(F.count("*").alias("_n"))
+    held = held.select(*FILE, text, F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "_n"), lambda i: F.concat_ws(":", i, "_g"))).alias("gram"))
+    if counts is None:
+        held = cut_lineage(held)
+        counts = held.groupBy(*FILE, "gram").agg(F.count("*").alias("n"))
+    order = W.partitionBy(*FILE, text).orderBy(F.coalesce("n", F.lit(0)), "gram")
+    ranked = held.join(counts, [*FILE, "gram"], "left").withColumn("_rank", F.row_number().over(order))
+    return ranked.where(F.col("_rank") <= n - q + 1 - _shared(n, q, cutoff) + 1).select(*FILE, text, "gram"), counts
+
+
+def nearest_lines(probes: DataFrame, lines: DataFrame, k: int = 2, cutoff: float = 0.5) -> DataFrame:
     """The ``k`` lines of a file closest to a missed anchor (run_id, file, probe).
 
-    Lines are compared stripped; each is reported where it first occurs. ``metric`` is
-    ``ratio`` (matching blocks) or ``edit`` (1 - edit distance / longer length). Both need
-    similar lengths, so probe and line first meet on a power-of-two length class.
+    Lines are compared stripped; each is reported where it first occurs. Similarity is 1 - edit distance / longer length.
+    Above a cutoff of a half, texts that are similar share grams: a probe meets the lines that share one of its rarest
+    ones. Texts too short for that, and all texts at lower cutoffs, meet by power-of-two classes of their length. Both
+    ways miss nothing, and the distance is given up where it passes what the cutoff leaves.
     """
-    # how many times as long as the other a text of the cutoff's similarity can be
-    longest = (2 - cutoff) / cutoff if metric == "ratio" else 1 / cutoff
-    reach = math.ceil(math.log2(longest))
-    size_class = lambda c: F.floor(F.log2(F.length(c))).cast("int")
     text = F.trim(F.col("text"))
     distinct = (
         lines.select(*FILE, text.alias("line"), "line_no").where("line <> ''")
         .groupBy(*FILE, "line").agg(F.min("line_no").alias("line_no"), F.count("*").alias("copies"))
-        .withColumn("_class", size_class("line"))
-    )
-    asked = probes.select(*FILE, "probe").where("probe <> ''").distinct().withColumn(
-        "_class", F.explode(F.sequence(size_class("probe") - reach, size_class("probe") + reach))
     )
-    met = asked.join(distinct, [*FILE, "_class"]).drop("_class")
-    short, long = F.least(F.length("line"), F.length("probe")), F.greatest(F.length("line"), F.length("probe"))
-    if metric == "ratio":
-        near = met.where(2 * short / (short + long) >= cutoff)
-        scored = near.mapInPandas(
-            _gestalt(), "run_id string, file string, probe string, line string, line_no int, copies long, similarity double"
-        )
-    else:
-        near = met.where(short / long >= cutoff)
-        scored = near.withColumn("similarity", 1 - F.levenshtein("line", "probe") / long)
-    good = scored.where(F.col("similarity") >= cutoff)
+    asked = probes.select(*FILE, "probe").where("probe <> ''").distinct()
+    q = _gram_size(cutoff)
+    short = lambda c: _shared(F.length(c), q, cutoff) < 1 if q else F.lit(True)
+    reach = math.ceil(math.log2(1 / cutoff))
+    size_class = lambda c: F.floor(F.log2(F.length(c))).cast("int")
+    classes = F.explode(F.sequence(size_class("probe") - reach, size_class("probe") + reach)).alias("_class")
+    met = asked.select("*", classes).join(distinct.withColumn("_class", size_class("line")), [*FILE, "_class"]).drop("_class")
+    met = met.where(short("line") | short("probe"))
+    if q:
+        of_lines, counts = _rare_grams(distinct, "line", None, q, cutoff)
+        of_probes, _ = _rare_grams(asked, "probe", counts, q, cutoff)
+        pairs = of_probes.join(of_lines, [*FILE, "gram"]).select(*FILE, "probe", "line").distinct()
+        met = met.unionByName(pairs.join(distinct, [*FILE, "line"]))
+    longer, shorter = F.greatest(F.length("line"), F.length("probe")), F.least(F.length("line"), F.length("probe"))
+    room = F.floor(longer * (1 - cutoff) + 1e-9).cast("int")
+    near = met.where(shorter >= longer - room).withColumn("_edits", F.call_function("levenshtein", "line", "probe", room))
+    good = near.where("_edits >= 0").withColumn("similarity", 1 - F.col("_edits") / longer).where(F.col("similarity") >= cutoff)
     best = first_n(good, [*FILE, "probe"], [F.desc("similarity"), F.desc("line")], k)
     # a line that occurs twice fills two places
     before = F.sum("copies").over(

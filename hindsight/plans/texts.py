@@ -99,12 +99,12 @@ def probes(spark, folder):
 
 @query("E08_nearest_lines", PROBES + "SELECT run_id, file, probe, line, line_no, similarity, CAST(places AS BIGINT) AS places FROM b WHERE places > 0")
 def e08(spark, folder):
-    return evidence.nearest_lines(*probes(spark, folder), metric="edit")
+    return evidence.nearest_lines(*probes(spark, folder))
 
 
-@query("E08_nearest_lines_ratio")
-def e08r(spark, folder):
-    return evidence.nearest_lines(*probes(spark, folder))
+@query("E08_nearest_lines_close", PROBES.replace(">= 0.5", ">= 0.8") + "SELECT run_id, file, probe, line, line_no, similarity, CAST(places AS BIGINT) AS places FROM b WHERE places > 0")
+def e08c(spark, folder):
+    return evidence.nearest_lines(*probes(spark, folder), cutoff=0.8)
 
 
 EDITS = """
@@ -259,6 +259,47 @@ def f03(spark, folder):
     return marked.select("path", "start", "operator", "reason")
 
 
+# text that holds what the default rules look for, next to what they must leave alone
+RULED = """
+WITH pg AS (
+  SELECT CASE WHEN p_partkey % 7 = 0 THEN 'ifu/bpd/' ELSE 'exu/' END || p_partkey || '.scala' AS path,
+         '// part ' || p_partkey || chr(10) || repeat('  x := io.firex + io.un_true.Bz' || chr(10), p_size % 4) || '  when (io.a' || p_size || '.fire() && b.fire) {' || chr(10)
+         || CASE p_partkey % 3 WHEN 0 THEN '    perf_count := n + 1.U' WHEN 1 THEN '    idx := n -1.U' ELSE '    idx := n +' || chr(10) || '      1.U' END || chr(10)
+         || CASE WHEN p_size % 2 = 0 THEN '    ok := true.B' || chr(9) || '// core_perf_tick' ELSE chr(9) || 'ok := false.B ' END || chr(10) || '  }' AS text FROM part),
+needles AS (SELECT * FROM (VALUES
+  ('.fire() ', 0, '.fire()', '.valid', 'fire_to_valid', 'handshake-protocol'), ('b.fire)', 1, '.fire', '.valid', 'fire_to_valid', 'handshake-protocol'),
+  ('n + 1.U', 2, '+ 1.U', '- 1.U', 'inc_to_dec', 'index-arithmetic'), ('n +' || chr(10) || '      1.U', 2, '+' || chr(10) || '      1.U', '- 1.U', 'inc_to_dec', 'index-arithmetic'),
+  ('n -1.U', 2, '-1.U', '+ 1.U', 'dec_to_inc', 'index-arithmetic'), ('= true.B', 2, 'true.B', 'false.B', 'true_to_false', 'constant-flip'),
+  ('= false.B', 2, 'false.B', 'true.B', 'false_to_true', 'constant-flip')) t(needle, lead, before, "after", operator, cls)),
+pieces AS (SELECT *, strpos(text, needle) - 1 + lead AS start FROM pg JOIN needles ON contains(text, needle))
+""" + PLACE
+
+
+def ruled_texts(spark, folder) -> DataFrame:
+    part, size = F.col("p_partkey"), F.col("p_size")
+    lf, tab = F.lit("\n"), F.lit("\t")
+    step = F.when(part % 3 == 0, "    perf_count := n + 1.U").when(part % 3 == 1, "    idx := n -1.U").otherwise("    idx := n +\n      1.U")
+    flag = F.when(size % 2 == 0, F.concat(F.lit("    ok := true.B"), tab, F.lit("// core_perf_tick"))).otherwise(F.concat(tab, F.lit("ok := false.B ")))
+    text = F.concat(
+        F.lit("// part "), part, lf, F.repeat(F.lit("  x := io.firex + io.un_true.Bz\n"), (size % 4).cast("int")), F.lit("  when (io.a"), size,
+        F.lit(".fire() && b.fire) {\n"), step, lf, flag, lf, F.lit("  }"),
+    )
+    path = F.concat(F.when(part % 7 == 0, "ifu/bpd/").otherwise("exu/"), part, F.lit(".scala"))
+    return table(spark, folder, "part").select(path.alias("path"), text.alias("text"))
+
+
+@query("F02_default_rules", RULED + "SELECT * FROM site")
+def f02_default(spark, folder):
+    return sites.constant_sites(ruled_texts(spark, folder))
+
+
+@query("F03_default_exclusion", RULED + """
+SELECT path, start, operator, CASE WHEN path LIKE 'ifu/bpd/%' THEN 'predictor' WHEN context LIKE 'perf_count %' THEN 'event counts' WHEN context LIKE '%core_perf_tick' THEN 'event wiring' END AS reason FROM site
+""")
+def f03_default(spark, folder):
+    return sites.split_excluded(sites.constant_sites(ruled_texts(spark, folder))).select("path", "start", "operator", "reason")
+
+
 @query("F04_mutant_id", CONSTANTS + """
 , ids AS (SELECT *, substr(sha256(concat_ws(':', path, line, col, operator)), 1, 12) AS mutant_id FROM site),
 rec AS (SELECT DISTINCT CASE WHEN operator = 'a_to_b' THEN path || '.gone' ELSE path END AS path, line, operator, before FROM ids),

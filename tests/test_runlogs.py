@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import time
 from decimal import Decimal
 
 import numpy as np
@@ -283,21 +285,33 @@ def test_proposals(frame):
     assert got == {"RegNext(c)": ("registered", 3), "RegNxt(c)": ("no match", None), "val": ("4 matches", None), "Mux(x": ("no-op", None)}
 
 
-def test_nearest_lines_agree_with_difflib(frame):
-    import difflib
-    import random
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
 
+@pytest.mark.parametrize("cutoff", [0.3, 0.5, 0.6, 0.7, 0.8, 0.95])
+def test_nearest_lines_are_those_of_all_pairs(frame, cutoff):
     rng = random.Random(3)
-    pool = ["".join(rng.choice("abcde ()=") for _ in range(rng.randrange(4, 40))).strip() for _ in range(60)]
-    pool += pool[:5] + ["val c = Mux(x, y, z)", "val d = RegNext(c)"]
-    probes = [pool[0] + "x", "val c = Mux(x, y)", "zzzz", pool[7][2:], pool[3]]
-    texts = frame("run_id string, file string, text string", ("r", "f", "\n".join(pool)))
+    pool = ["".join(rng.choice("abc ()=") for _ in range(rng.randrange(1, 30))).strip() or "x" for _ in range(90)]
+    pool += pool[:5] + ["val c = Mux(x, y, z)", "val d = RegNext(c)", "aaaaaaaaaaaa", "aaaaaaaaaaab", "é" * 9]
+    probes = [pool[0] + "x", "val c = Mux(x, y)", "zzzz", pool[7][2:], pool[3], "aaaaaaaaaaaaa", "a", "ab", "é" * 8, *(p[:4] + p[5:] for p in pool[10:40])]
+    texts = frame("run_id string, file string, text string", ("r", "f", "\n".join(pool)), ("r", "g", "val c = Mux(x, y)"))
     asked = frame("run_id string, file string, probe string", *[("r", "f", p) for p in probes])
-    got = evidence.nearest_lines(asked, evidence.split_lines(texts, 1)).collect()
-    for p in probes:
-        want = difflib.get_close_matches(p, pool, n=2, cutoff=0.5)
-        have = [r.line for r in sorted(got, key=lambda r: (-r.similarity, r.line), reverse=False) if r.probe == p for _ in range(r.places)]
-        assert sorted(have) == sorted(want), p
+    got = evidence.nearest_lines(asked, evidence.split_lines(texts, 1), 3, cutoff).collect()
+    for p in {p for p in probes if p}:
+        near = sorted(((1 - edits(p, x) / max(len(p), len(x)), x) for x in set(pool)), reverse=True)
+        want, room = [], 3
+        for s, x in near:
+            if s >= cutoff and room > 0:
+                want.append((x, pytest.approx(s), min(room, pool.count(x))))
+                room -= pool.count(x)
+        have = sorted(((r.line, r.similarity, r.places) for r in got if r.probe == p), key=lambda r: (-r[1], [-ord(c) for c in r[0]]))
+        assert sorted(have) == sorted(want, key=lambda w: w[0]), (cutoff, p)
 
 
 def test_grep_context_and_flag(frame):
@@ -515,3 +529,29 @@ def test_queue_retries_what_waited(spark, frame, tmp_path):
     frame("task string", "t2").write.mode("append").json(folder["tasks"])
     frame(schema, ("t1", "b", 1, "r")).coalesce(1).write.mode("append").json(folder["in"])
     assert follow() == [("t1", "p"), ("t1", "r"), ("t2", "q")]
+
+
+def plain_sites(text, rules):
+    out = []
+    for pattern, after, operator, cls in rules:
+        for m in re.finditer(pattern, text):
+            line = text.count("\n", 0, m.start()) + 1
+            col = m.start() - (text.rfind("\n", 0, m.start()) + 1) + 1
+            out.append((m.start(), m.end(), m[0], after, operator, cls, line, col, text.split("\n")[line - 1].strip()))
+    return out
+
+
+def test_sites_like_a_loop(frame):
+    rng = random.Random(5)
+    parts = [".fire", ".fire()", ".fire(", ".firex", "+ 1.U", "+\n1.U", "-\n\n 1.U", "-1.U", "true.B", "xtrue.B", "false.B_", "false.B", "\n", " ", "\t", "é", "a<=b", "==="]
+    texts = {f"f{i}": "".join(rng.choices(parts, k=rng.randrange(60))) for i in range(20)} | {"empty": "", "lf": "\n+ 1.U\n"}
+    got = bag(sites.constant_sites(frame("path string, text string", *texts.items())))
+    assert got == sorted((p, *x) for p, t in texts.items() for x in plain_sites(t, sites.CONSTANT_RULES))
+
+
+def test_a_file_of_many_sites(frame):
+    text = "\n".join(f"  a{i} := b + 1.U" for i in range(100_000))
+    t0 = time.monotonic()
+    got = sites.constant_sites(frame("path string, text string", ("big", text))).agg(F.count("*"), F.max("line"), F.max("start"), F.sum("col"), F.max("context")).first()
+    assert tuple(got) == (100_000, 100_000, text.rfind("+"), sum(f"  a{i} := b + 1.U".index("+") + 1 for i in range(100_000)), "a99999 := b + 1.U")
+    assert time.monotonic() - t0 < 60
