@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hindsight.operators.graph import backward_slice
+from hindsight.operators.graph import backward_slice, cap_nodes
 from hindsight.operators.ordered import first_n
 from hindsight.session import cut_lineage
 
@@ -192,16 +192,20 @@ def blame_edges(
 
 
 def why(
-    roots: DataFrame, edges: DataFrame, values: DataFrame, last_change: DataFrame, facts: DataFrame, max_depth: int = 12
+    roots: DataFrame, edges: DataFrame, values: DataFrame, last_change: DataFrame, facts: DataFrame, max_depth: int = 12,
+    max_nodes: int | None = None,
 ) -> DataFrame:
-    """Causal chain of every root: (root, depth, node, via, parent, value, last_change, module, ref).
+    """Causal chain of every root: (root, depth, node, via, parent, value, last_change, module, ref, expr, truncated).
 
-    roots (root, node); last_change (node, last_change); facts (node, module, ref).
+    roots (root, node); last_change (node, last_change); facts (node, module, ref, expr). With ``max_nodes`` a chain is its
+    first links by depth and name. ``truncated`` says whether depth or number of nodes left any link of the root out.
     """
     steps = backward_slice(roots, edges, max_depth)
+    if max_nodes is not None:
+        steps = cap_nodes(steps, max_nodes)
     return (
         steps.join(values, "node", "left").join(last_change, "node", "left").join(facts, "node", "left")
-        .select("root", "depth", "node", "via", "parent", "value", "last_change", "module", "ref")
+        .select("root", "depth", "node", "via", "parent", "value", "last_change", "module", "ref", "expr", "truncated")
     )
 
 
@@ -209,21 +213,22 @@ def cross_memory(chain: DataFrame, reads: DataFrame, hop: DataFrame, below: Data
     """Continue chains that end in a memory from the write that filled it.
 
     reads (node, mem): read ports; hop (root, mem, write_cycle, port): the write found
-    for a chain; below: chains at the write cycle, rooted at (root, mem). The memory's
-    other port links are dropped, a marker row and the sub-chain come in, one level
+    for a chain; below: chains at the write cycle, rooted at (root, mem). Links keep what is
+    known of them; a marker is reached ``via`` the memory. The memory's other port links are dropped, a marker row and the sub-chain come in, one level
     below the shallowest read port of the chain.
     """
     ends = chain.join(reads, "node").join(hop, ["root", "mem"]).groupBy("root").agg(
         F.min(F.struct("depth", "node", "mem", "write_cycle", "port")).alias("x")
     ).select("root", F.col("x.depth").alias("at"), F.col("x.node").alias("read"), "x.mem", "x.write_cycle", "x.port")
-    cols = ["root", "depth", "node", "parent", "value", "last_change"]
+    cols = ["root", "depth", "node", "via", "parent", "value", "last_change", "module", "ref"]
     kept = chain.join(ends.select("root", "mem", "read"), "root", "left").where(
         F.col("mem").isNull() | ~F.coalesce(F.col("node").startswith(F.concat("mem", F.lit("."))), F.lit(False)) | (F.col("node") == F.col("read"))
     ).select(*cols)
     text = F.concat(F.lit("-- written at cycle "), "write_cycle", F.lit(" by port "), "port", F.lit(" --"))
+    unknown = F.lit(None).cast("string")
     marks = ends.select(
-        "root", F.col("at").alias("depth"), text.alias("node"), F.col("read").alias("parent"), F.lit(None).cast("long").alias("value"),
-        F.col("write_cycle").alias("last_change"),
+        "root", F.col("at").alias("depth"), text.alias("node"), F.lit("memory").alias("via"), F.col("read").alias("parent"),
+        F.lit(None).cast("long").alias("value"), F.col("write_cycle").alias("last_change"), unknown.alias("module"), unknown.alias("ref"),
     )
     sub = below.join(ends.select("root", "mem", "at"), ["root", "mem"]).withColumn("depth", F.col("depth") + F.col("at") + 1).select(*cols)
     return kept.unionByName(marks).unionByName(sub)
@@ -237,12 +242,12 @@ def _shown(node: Column) -> Column:
     )
 
 
-def _below_anchor(chain: DataFrame, anchors: DataFrame, max_hops: int = 64) -> DataFrame:
+def _below_anchor(chain: DataFrame, anchors: DataFrame) -> DataFrame:
     """(root, node): links whose parents lead to their root's anchor (root, anchor)."""
     parent = chain.where("parent IS NOT NULL").select("root", F.col("parent"), "node").distinct()
     reached = cut_lineage(anchors.select("root", F.col("anchor").alias("node")))
     frontier = reached
-    for _ in range(max_hops):
+    while True:  # ends, as what was reached is left out
         down = frontier.withColumnRenamed("node", "parent").join(parent, ["root", "parent"]).select("root", "node").distinct()
         frontier = cut_lineage(down.join(reached, ["root", "node"], "left_anti"))
         if frontier.isEmpty():
@@ -252,7 +257,7 @@ def _below_anchor(chain: DataFrame, anchors: DataFrame, max_hops: int = 64) -> D
 
 
 def chain_digest(chain: DataFrame, total: int = 22) -> DataFrame:
-    """One telling link per depth of every chain, at most ``total``.
+    """One telling link per depth of every chain, at most ``total``; ``truncated`` says whether there were more.
 
     A root value that is not NULL, 0 or 1 marks a path: at depths where a link carries
     it only those stay, and below the deepest of them only its descendants. Otherwise
@@ -289,7 +294,9 @@ def chain_digest(chain: DataFrame, total: int = 22) -> DataFrame:
         "root", "depth", "l.node", "l.value", "l.last_change", "l.ref", "l.parent"
     )
     rows = one.unionByName(ranked.where(marks).select(*one.columns))
-    return first_n(rows, ["root"], [F.col("depth"), F.when(marks, 0).otherwise(1), F.col("node")], total).drop("rank")
+    more = first_n(rows, ["root"], [F.col("depth"), F.when(marks, 0).otherwise(1), F.col("node")], total + 1)
+    flags = more.groupBy("root").agg((F.max("rank") > total).alias("truncated"))
+    return more.where(F.col("rank") <= total).drop("rank").join(flags, "root")
 
 
 def committing_lane(state: DataFrame, findings: DataFrame) -> DataFrame:

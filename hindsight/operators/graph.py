@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hindsight.functions.names import scope_of
 from hindsight.operators.ordered import first_n
-from hindsight.session import cut_lineage
+from hindsight.session import Bucketed, cut_lineage
 
 
 def hops(instance: DataFrame, edge: DataFrame, port: DataFrame, conn: DataFrame) -> DataFrame:
@@ -45,14 +45,35 @@ def hops(instance: DataFrame, edge: DataFrame, port: DataFrame, conn: DataFrame)
     return local.unionByName(up).unionByName(down)
 
 
+#: Rows of a frontier at one node from which its operands are handed out to several tasks.
+HOT = 1_000_000
+
+
+def _steps(frontier: DataFrame, dep: DataFrame, hottest: int, hot: int) -> DataFrame:
+    """(root, node, parent, via) one hop behind a frontier (root, node); ``hottest`` is the most roots at one node."""
+    at = frontier.select("root", F.col("node").alias("parent"))
+    if hottest <= hot:
+        return at.join(dep.withColumnRenamed("node", "parent"), "parent").select("root", "parent", F.col("operand").alias("node"), "via")
+    # a hub's operands go to every task that takes a share of its roots
+    parts = F.ceil(F.count("*") / hot).cast("int").alias("parts")
+    shares = at.groupBy("parent").agg(parts)
+    dealt = at.join(shares, "parent").withColumn("part", F.expr("pmod(xxhash64(root), parts)").cast("int"))
+    copies = dep.withColumnRenamed("node", "parent").join(shares, "parent").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.drop("parts").join(copies.drop("parts"), ["parent", "part"]).select("root", "parent", F.col("operand").alias("node"), "via")
+
+
 def backward_slice(
-    roots: DataFrame, dep: DataFrame, max_depth: int = 8, keep: DataFrame | None = None
+    roots: DataFrame, dep: DataFrame, max_depth: int = 8, keep: DataFrame | None = None, hot: int = HOT
 ) -> DataFrame:
-    """Breadth-first slice of every root: (root, node, depth, via, parent).
+    """Breadth-first slice of every root: (root, node, depth, via, parent, truncated).
 
     roots (root, node), dep (node, operand, via). A node appears once per root, at its
     smallest depth, under its lowest parent there. ``keep`` (node) restricts data and
-    control hops only.
+    control hops only. ``truncated`` is true for all of a root's rows if a node it has not
+    reached lies behind those at ``max_depth``.
+
+    Dependencies are bucketed by node and what is reached by (root, node), so a round
+    shuffles what it adds and nothing else.
     """
     if keep is not None:
         free = dep.where(~F.col("via").isin("data", "control"))
@@ -63,27 +84,41 @@ def backward_slice(
     start = roots.select(
         "root", "node", F.lit(0).alias("depth"), F.lit("root").alias("via"), F.lit(None).cast("string").alias("parent")
     )
-    dep = cut_lineage(dep.select("node", "operand", "via"))
-    frontier = seen = cut_lineage(start)
-    for depth in range(1, max_depth + 1):
-        reached = (
-            frontier.select("root", F.col("node").alias("parent"))
-            .join(dep.withColumnRenamed("node", "parent"), "parent")
-            .groupBy("root", F.col("operand").alias("node"))
-            .agg(F.min(F.struct("parent", "via")).alias("p"))
-            .select("root", "node", F.lit(depth).alias("depth"), "p.via", "p.parent")
-        )
-        frontier = cut_lineage(reached.join(seen.select("root", "node"), ["root", "node"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+    spark = roots.sparkSession
+    adjacent, seen = Bucketed(spark, ["node"]), Bucketed(spark, ["root", "node"])
+    try:
+        adjacent.append(dep.select("node", "operand", "via"))
+        rows = seen.append(start)
+
+        def behind(depth: int, hottest: int) -> DataFrame:
+            reached = _steps(seen.table(depth - 1), adjacent.table(), hottest, hot).groupBy("root", "node").agg(F.min(F.struct("parent", "via")).alias("p"))
+            fresh = reached.join(seen.table().select("root", "node"), ["root", "node"], "left_anti")
+            return fresh.select("root", "node", F.lit(depth).alias("depth"), "p.via", "p.parent")
+
+        more = None
+        for depth in range(1, max_depth + 2):
+            if not rows:
+                break
+            hottest = rows if rows <= hot else seen.table(depth - 1).groupBy("node").count().agg(F.max("count")).first()[0]
+            if depth > max_depth:
+                more = cut_lineage(behind(depth, hottest).select("root").distinct())
+            else:
+                rows = seen.append(behind(depth, hottest))
+        steps = seen.rows().drop("step")
+    finally:
+        adjacent.drop(), seen.drop()
+    if more is None or more.isEmpty():
+        return steps.withColumn("truncated", F.lit(False))
+    marked = steps.join(more.withColumn("truncated", F.lit(True)), "root", "left")
+    return marked.withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
 def cap_nodes(steps: DataFrame, max_nodes: int) -> DataFrame:
-    """The first nodes of every root in breadth-first order, and whether there were more."""
-    more = first_n(steps, ["root"], [F.col("depth"), F.col("node")], max_nodes + 1)
-    flags = more.groupBy("root").agg((F.max("rank") > max_nodes).alias("truncated"))
+    """The first nodes of every root in breadth-first order, and whether there were more, or more behind the depth."""
+    ended = steps.groupBy("root").agg(F.max("truncated").alias("ended"))
+    more = first_n(steps.drop("truncated"), ["root"], [F.col("depth"), F.col("node")], max_nodes + 1)
+    flags = more.groupBy("root").agg((F.max("rank") > max_nodes).alias("capped")).join(ended, "root")
+    flags = flags.select("root", (F.col("capped") | F.col("ended")).alias("truncated"))
     return more.where(F.col("rank") <= max_nodes).drop("rank").join(flags, "root")
 
 
@@ -103,7 +138,7 @@ def module_slice(
 def drivers(steps: DataFrame, refs: DataFrame) -> DataFrame:
     """A slice without its roots, each node with its first source reference (node, ref)."""
     first = refs.groupBy("node").agg(F.min("ref").alias("ref"))
-    return steps.where("depth > 0").join(first, "node", "left").select("root", "depth", "via", "node", "ref")
+    return steps.where("depth > 0").join(first, "node", "left").select("root", "depth", "via", "node", "ref", "truncated")
 
 
 def without_drivers(roots: DataFrame, steps: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from hindsight.sources import runlog
 
 ORDER = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 SPAN = 1 << 20
+ORDER_OPS, CUSTOMER_OPS = ["&", "|", "^", "+"], ["&", "|", "?:", "!="]
 
 SQL = """
 WITH RECURSIVE li AS (
@@ -54,19 +55,21 @@ resp AS (
 moved AS (SELECT node, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS last_change FROM li
           UNION ALL SELECT 'o' || o_orderkey, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) FROM orders WHERE o_orderstatus <> 'P'
           UNION ALL SELECT 'c' || c_custkey, 3000 + c_custkey % 900 FROM customer),
-fact AS (SELECT node, 'L' AS module, 'gen/l' || (l_suppkey % 9) || '.scala:' || l_linenumber AS ref FROM li
-         UNION ALL SELECT 'o' || o_orderkey, 'O', 'gen/o' || (o_custkey % 5) || '.scala:1' FROM orders UNION ALL SELECT 'c' || c_custkey, 'C', 'gen/c.scala:2' FROM customer)
+fact AS (SELECT node, 'L' AS module, 'gen/l' || (l_suppkey % 9) || '.scala:' || l_linenumber AS ref, NULL AS expr FROM li
+         UNION ALL SELECT 'o' || o_orderkey, 'O', 'gen/o' || (o_custkey % 5) || '.scala:1', ['&', '|', '^', '+'][o_orderkey % 4 + 1] FROM orders
+         UNION ALL SELECT 'c' || c_custkey, 'C', 'gen/c.scala:2', ['&', '|', '?:', '!='][c_custkey % 4 + 1] FROM customer)
 """
 
 WHY = """
 , root AS ({roots}),
 bl AS (SELECT DISTINCT node, operand, 'accounts for the value' AS via FROM resp {more}),
-walk(root, node, depth) AS (SELECT root, node, 0 FROM root UNION SELECT w.root, d.operand, w.depth + 1 FROM walk w JOIN bl d ON d.node = w.node WHERE w.depth < 12),
+walk(root, node, depth) AS (SELECT root, node, 0 FROM root UNION SELECT w.root, d.operand, w.depth + 1 FROM walk w JOIN bl d ON d.node = w.node WHERE w.depth < {depth}),
 near AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY ALL),
 par AS (SELECT n.root, n.node, min(struct_pack(p := d.node, v := d.via)) AS b FROM near n JOIN bl d ON d.operand = n.node
         JOIN near m ON m.root = n.root AND m.node = d.node AND m.depth = n.depth - 1 GROUP BY ALL),
+deeper AS (SELECT DISTINCT n.root FROM near n JOIN bl d ON d.node = n.node WHERE n.depth = {depth} AND NOT EXISTS (SELECT 1 FROM near m WHERE m.root = n.root AND m.node = d.operand)),
 chain AS (
-  SELECT n.root, CAST(n.depth AS INTEGER) AS depth, n.node, CASE WHEN n.depth = 0 THEN 'root' ELSE b.v END AS via, b.p AS parent, v.value, m.last_change, f.module, f.ref
+  SELECT n.root, CAST(n.depth AS INTEGER) AS depth, n.node, CASE WHEN n.depth = 0 THEN 'root' ELSE b.v END AS via, b.p AS parent, v.value, m.last_change, f.module, f.ref, f.expr, n.root IN (FROM deeper) AS truncated
   FROM near n LEFT JOIN par USING (root, node) LEFT JOIN val v ON v.node = n.node LEFT JOIN moved m ON m.node = n.node LEFT JOIN fact f ON f.node = n.node)
 """
 DIGEST = """
@@ -82,8 +85,9 @@ rk AS (SELECT *, CASE WHEN dis THEN CASE WHEN car THEN 0 ELSE 1 END WHEN last_ch
               CASE WHEN dis OR last_change IS NULL OR rc IS NULL OR last_change = fl THEN 0 ELSE abs(last_change - rc) END AS aw FROM k2),
 digest AS (SELECT root, depth, node, value, last_change, ref, parent FROM (
   SELECT * FROM rk QUALIFY row_number() OVER (PARTITION BY root, depth ORDER BY g, aw, node) = 1) QUALIFY row_number() OVER (PARTITION BY root ORDER BY depth, node) <= 22)
+, full_digest AS (SELECT digest.*, (SELECT count(DISTINCT depth) FROM rk WHERE rk.root = digest.root) > 22 AS truncated FROM digest)
 """
-CUSTOMERS = WHY.format(roots="SELECT 'c' || c_custkey AS root, 'c' || c_custkey AS node FROM customer", more="")
+CUSTOMERS = WHY.format(roots="SELECT 'c' || c_custkey AS root, 'c' || c_custkey AS node FROM customer", more="", depth=12)
 
 
 def items(spark, folder) -> DataFrame:
@@ -114,8 +118,8 @@ def tree(spark, folder, li: DataFrame | None = None):
         return df.select(tag(t, F.col(key)).alias("node"), op.alias("op"), F.lit(1).alias("width"), F.lit(0).alias("hi"), F.lit(0).alias("lo")).distinct()
 
     gates = (
-        gate(table(spark, folder, "lineitem").select("l_orderkey"), "o", "l_orderkey", ["&", "|", "^", "+"])
-        .unionByName(gate(table(spark, folder, "orders").select("o_custkey"), "c", "o_custkey", ["&", "|", "?:", "!="]))
+        gate(table(spark, folder, "lineitem").select("l_orderkey"), "o", "l_orderkey", ORDER_OPS)
+        .unionByName(gate(table(spark, folder, "orders").select("o_custkey"), "c", "o_custkey", CUSTOMER_OPS))
         .unionByName(gate(table(spark, folder, "customer").select("c_nationkey"), "n", "c_nationkey", ["?:"]))
         .unionByName(gate(table(spark, folder, "nation").select("n_regionkey"), "r", "n_regionkey", ["&"]))
     )
@@ -130,6 +134,7 @@ def context(spark, folder, li: DataFrame):
     leaf = F.concat(F.lit("l"), "l_orderkey", F.lit("."), "pos")
     o, c = table(spark, folder, "orders"), table(spark, folder, "customer")
     day = lambda col: F.datediff(F.col(col).cast("date"), F.lit("1990-01-01").cast("date")).cast("long")
+    op = lambda key, ops: F.element_at(F.array(*[F.lit(x) for x in ops]), (F.col(key) % len(ops) + 1).cast("int")).alias("expr")
     onode, cnode = F.concat(F.lit("o"), "o_orderkey"), F.concat(F.lit("c"), "c_custkey")
     moved = (
         li.select(leaf.alias("node"), day("l_shipdate").alias("last_change"))
@@ -137,9 +142,9 @@ def context(spark, folder, li: DataFrame):
         .unionByName(c.select(cnode.alias("node"), (F.col("c_custkey") % 900 + 3000).alias("last_change")))
     )
     facts = (
-        li.select(leaf.alias("node"), F.lit("L").alias("module"), F.concat(F.lit("gen/l"), F.col("l_suppkey") % 9, F.lit(".scala:"), "l_linenumber").alias("ref"))
-        .unionByName(o.select(onode.alias("node"), F.lit("O").alias("module"), F.concat(F.lit("gen/o"), F.col("o_custkey") % 5, F.lit(".scala:1")).alias("ref")))
-        .unionByName(c.select(cnode.alias("node"), F.lit("C").alias("module"), F.lit("gen/c.scala:2").alias("ref")))
+        li.select(leaf.alias("node"), F.lit("L").alias("module"), F.concat(F.lit("gen/l"), F.col("l_suppkey") % 9, F.lit(".scala:"), "l_linenumber").alias("ref"), F.lit(None).cast("string").alias("expr"))
+        .unionByName(o.select(onode.alias("node"), F.lit("O").alias("module"), F.concat(F.lit("gen/o"), F.col("o_custkey") % 5, F.lit(".scala:1")).alias("ref"), op("o_orderkey", ORDER_OPS)))
+        .unionByName(c.select(cnode.alias("node"), F.lit("C").alias("module"), F.lit("gen/c.scala:2").alias("ref"), op("c_custkey", CUSTOMER_OPS)))
     )
     return moved, facts
 
@@ -155,7 +160,7 @@ def d06(spark, folder):
     return blame.responsible(gates, operands, blame.evaluate(gates, operands, traced))
 
 
-def customer_chains(spark, folder, roots: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+def customer_chains(spark, folder, roots: DataFrame | None = None, links: DataFrame | None = None, **limits) -> DataFrame:
     li = items(spark, folder)
     gates, operands, traced = tree(spark, folder, li)
     values = blame.cut_lineage(blame.evaluate(gates, operands, traced))
@@ -163,7 +168,7 @@ def customer_chains(spark, folder, roots: DataFrame | None = None, links: DataFr
     if roots is None:
         node = F.concat(F.lit("c"), "c_custkey")
         roots = table(spark, folder, "customer").select(node.alias("root"), node.alias("node"))
-    return blame.why(roots, edges, values, *context(spark, folder, li))
+    return blame.why(roots, edges, values, *context(spark, folder, li), **limits)
 
 
 @query("D07_why", SQL + CUSTOMERS + "SELECT * FROM chain")
@@ -171,6 +176,14 @@ def d07(spark, folder):
     return customer_chains(spark, folder)
 
 
+@query("D07_why_capped", SQL + WHY.format(roots="SELECT 'c' || c_custkey AS root, 'c' || c_custkey AS node FROM customer", more="", depth=1) + """
+, r AS (SELECT * EXCLUDE (truncated), row_number() OVER (PARTITION BY root ORDER BY depth, node) AS rn, count(*) OVER (PARTITION BY root) > 6 OR truncated AS truncated FROM chain)
+SELECT * EXCLUDE (rn) FROM r WHERE rn <= 6
+""")
+def d07_capped(spark, folder):
+    return customer_chains(spark, folder, max_depth=1, max_nodes=6)
+
+
 @query("D08_element_select", SQL + """
 , n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT 'x' || o_orderkey AS node, 'l' || o_orderkey || '.' || (n - 1 - o_custkey % 4) AS operand, o_custkey % 4 AS i
@@ -195,11 +208,11 @@ def d08(spark, folder):
 hop AS (SELECT 'c' || o_custkey AS root, 'l' || o_orderkey AS mem, o_orderkey AS write_cycle, 'W' || (o_orderkey % 2) AS port FROM orders WHERE o_orderstatus = 'F'),
 x AS (SELECT c.root, c.depth AS "at", c.node AS "read", h.mem, h.write_cycle, h.port FROM chain c JOIN rd USING (node) JOIN hop h ON h.root = c.root AND h.mem = rd.mem
       QUALIFY row_number() OVER (PARTITION BY c.root ORDER BY c.depth, c.node, h.mem, h.write_cycle, h.port) = 1),
-bel AS (SELECT 'c' || o_custkey AS root, 'l' || o_orderkey AS mem, unnest([0, 1])::INTEGER AS depth, unnest(['w' || o_orderkey, 'q' || o_orderkey]) AS node, unnest([NULL, 'w' || o_orderkey]) AS parent,
-               unnest([7, NULL])::BIGINT AS value, o_orderkey AS last_change FROM orders)
-SELECT c.root, c.depth, c.node, c.parent, c.value, c.last_change FROM chain c LEFT JOIN x USING (root) WHERE x.mem IS NULL OR NOT starts_with(c.node, x.mem || '.') OR c.node = x."read"
-UNION ALL SELECT root, "at", '-- written at cycle ' || write_cycle || ' by port ' || port || ' --', "read", NULL, write_cycle FROM x
-UNION ALL SELECT b.root, CAST(b.depth + x."at" + 1 AS INTEGER), b.node, b.parent, b.value, b.last_change FROM bel b JOIN x ON x.root = b.root AND x.mem = b.mem
+bel AS (SELECT 'c' || o_custkey AS root, 'l' || o_orderkey AS mem, unnest([0, 1])::INTEGER AS depth, unnest(['w' || o_orderkey, 'q' || o_orderkey]) AS node, unnest(['root', 'data']) AS via, unnest([NULL, 'w' || o_orderkey]) AS parent,
+               unnest([7, NULL])::BIGINT AS value, o_orderkey AS last_change, unnest(['W', 'Q']) AS module, unnest(['w.scala:' || o_custkey, NULL]) AS ref FROM orders)
+SELECT c.root, c.depth, c.node, c.via, c.parent, c.value, c.last_change, c.module, c.ref FROM chain c LEFT JOIN x USING (root) WHERE x.mem IS NULL OR NOT starts_with(c.node, x.mem || '.') OR c.node = x."read"
+UNION ALL SELECT root, "at", '-- written at cycle ' || write_cycle || ' by port ' || port || ' --', 'memory', "read", NULL, write_cycle, NULL, NULL FROM x
+UNION ALL SELECT b.root, CAST(b.depth + x."at" + 1 AS INTEGER), b.node, b.via, b.parent, b.value, b.last_change, b.module, b.ref FROM bel b JOIN x ON x.root = b.root AND x.mem = b.mem
 """)
 def d09(spark, folder):
     o = table(spark, folder, "orders")
@@ -207,12 +220,18 @@ def d09(spark, folder):
     reads = table(spark, folder, "lineitem").select(F.concat(F.lit("l"), "l_orderkey").alias("mem")).distinct().withColumn("node", F.concat("mem", F.lit(".0")))
     hop = o.where("o_orderstatus = 'F'").select(root, mem, F.col("o_orderkey").alias("write_cycle"), F.concat(F.lit("W"), F.col("o_orderkey") % 2).alias("port"))
     w, q = F.concat(F.lit("w"), "o_orderkey"), F.concat(F.lit("q"), "o_orderkey")
-    link = lambda d, n, p, v: F.struct(F.lit(d).alias("depth"), n.alias("node"), p.alias("parent"), F.lit(v).cast("long").alias("value"))
-    below = o.select(root, mem, F.inline(F.array(link(0, w, F.lit(None).cast("string"), 7), link(1, q, w, None))), F.col("o_orderkey").alias("last_change"))
+    none = F.lit(None).cast("string")
+
+    def link(depth, node, via, parent, value, module, ref):
+        named = (F.lit(depth).alias("depth"), node.alias("node"), F.lit(via).alias("via"), parent.alias("parent"), F.lit(value).cast("long").alias("value"))
+        return F.struct(*named, F.lit(module).alias("module"), ref.alias("ref"))
+
+    links = F.array(link(0, w, "root", none, 7, "W", F.concat(F.lit("w.scala:"), "o_custkey")), link(1, q, "data", w, None, "Q", none))
+    below = o.select(root, mem, F.inline(links), F.col("o_orderkey").alias("last_change"))
     return blame.cross_memory(customer_chains(spark, folder), reads, hop, below)
 
 
-@query("D10_chain_digest", SQL + CUSTOMERS + DIGEST + "SELECT * FROM digest")
+@query("D10_chain_digest", SQL + CUSTOMERS + DIGEST + "SELECT * FROM full_digest")
 def d10(spark, folder):
     return blame.chain_digest(customer_chains(spark, folder))
 
@@ -222,7 +241,7 @@ TRACED = SQL.replace("WITH RECURSIVE", "WITH RECURSIVE " + runlogs.SQL.strip()[4
 pick AS (SELECT d.run_id, d.kind, coalesce(min(ln.lane), 0) AS lane FROM div d LEFT JOIN ln ON ln.run_id = d.run_id AND ln.valid = 1 AND ln.dest = d.reg GROUP BY ALL)
 """ + WHY.format(
     roots="SELECT CAST(run_id AS VARCHAR) AS root, CASE kind WHEN 'pc' THEN 's0_vpc' ELSE 'wdata_' || lane END AS node FROM pick WHERE kind IN ('pc', 'wdata')",
-    more="UNION SELECT 'wdata_0', 'c0', 'port-down' UNION SELECT 'wdata_1', 'c2', 'port-down' UNION SELECT 's0_vpc', 'c1', 'port-down'",
+    more="UNION SELECT 'wdata_0', 'c0', 'port-down' UNION SELECT 'wdata_1', 'c2', 'port-down' UNION SELECT 's0_vpc', 'c1', 'port-down'", depth=12,
 ) + DIGEST
 
 

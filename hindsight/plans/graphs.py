@@ -265,7 +265,10 @@ walk(root, node, depth) AS (
 near AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY ALL),
 par AS (SELECT n.root, n.node, min(struct_pack(p := d.node, v := d.via)) AS b FROM near n JOIN {dep} d ON d.operand = n.node
         JOIN near m ON m.root = n.root AND m.node = d.node AND m.depth = n.depth - 1 GROUP BY ALL),
-slice AS (SELECT n.root, n.node, n.depth, CASE WHEN depth = 0 THEN 'root' ELSE b.v END AS via, b.p AS parent FROM near n LEFT JOIN par USING (root, node))
+deeper AS (SELECT DISTINCT n.root FROM near n JOIN {dep} d ON d.node = n.node WHERE n.depth = {depth}
+           AND NOT EXISTS (SELECT 1 FROM near m WHERE m.root = n.root AND m.node = d.operand)),
+slice AS (SELECT n.root, n.node, n.depth, CASE WHEN depth = 0 THEN 'root' ELSE b.v END AS via, b.p AS parent,
+                 n.root IN (FROM deeper) AS truncated FROM near n LEFT JOIN par USING (root, node))
 """
 
 
@@ -289,7 +292,7 @@ def order_roots(spark, folder) -> DataFrame:
     return table(spark, folder, "orders").select(node.alias("root"), node.alias("node"))
 
 
-@query("D03_hier_slice", GR + WALK.format(dep="dep", depth=8) + "SELECT root, node, CAST(depth AS INTEGER) AS depth, via, parent FROM slice")
+@query("D03_hier_slice", GR + WALK.format(dep="dep", depth=8) + "SELECT root, node, CAST(depth AS INTEGER) AS depth, via, parent, truncated FROM slice")
 def d03(spark, folder):
     return graph.backward_slice(order_roots(spark, folder), dependencies(spark, folder), 8)
 
@@ -298,7 +301,7 @@ def d03(spark, folder):
 kd AS (SELECT * FROM dep WHERE via = 'port-up' OR operand IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0)),
 """ + WALK.format(dep="kd", depth=8) + """
 , r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS rn, count(*) OVER (PARTITION BY root) AS n FROM slice)
-SELECT root, node, CAST(depth AS INTEGER) AS depth, via, parent, n > 6 AS truncated FROM r WHERE rn <= 6
+SELECT root, node, CAST(depth AS INTEGER) AS depth, via, parent, n > 6 OR truncated AS truncated FROM r WHERE rn <= 6
 """)
 def d03k(spark, folder):
     keep = table(spark, folder, "supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"))
@@ -312,7 +315,7 @@ WITH RECURSIVE edge AS (
   UNION ALL SELECT DISTINCT l_suppkey, 'q' || (l_partkey // 4), 'q' || (l_partkey // 16), 'data' FROM lineitem),
 dep AS (SELECT module || ':' || node AS node, module || ':' || operand AS operand, via FROM edge e WHERE EXISTS (SELECT 1 FROM edge d WHERE d.module = e.module AND d.node = e.operand)),
 root AS (SELECT DISTINCT l_suppkey || ':o' || l_orderkey AS node FROM lineitem),
-""" + WALK.format(dep="dep", depth=6) + "SELECT root, node, CAST(depth AS INTEGER) AS depth, via, parent FROM slice")
+""" + WALK.format(dep="dep", depth=6) + "SELECT root, node, CAST(depth AS INTEGER) AS depth, via, parent, truncated FROM slice")
 def d02(spark, folder):
     li = table(spark, folder, "lineitem")
     tag = lambda t, c: F.concat(F.lit(t), c)
@@ -330,14 +333,21 @@ def d02(spark, folder):
 
 @query("D04_drivers", GR + WALK.format(dep="dep", depth=3) + """
 , ref AS (SELECT 's' || s_suppkey AS node, s_name || '.scala:' || s_nationkey AS ref FROM supplier UNION ALL SELECT 'p' || p_partkey, replace(p_name, ' ', '_') || '.scala:' || p_size FROM part)
-SELECT root, CAST(depth AS INTEGER) AS depth, via, node, (SELECT min(ref) FROM ref WHERE ref.node = slice.node) AS ref FROM slice WHERE depth > 0
+SELECT root, CAST(depth AS INTEGER) AS depth, via, node, (SELECT min(ref) FROM ref WHERE ref.node = slice.node) AS ref, truncated FROM slice WHERE depth > 0
 """)
 def d04(spark, folder):
     s, p = table(spark, folder, "supplier"), table(spark, folder, "part")
     refs = s.select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.concat("s_name", F.lit(".scala:"), "s_nationkey").alias("ref")).unionByName(
         p.select(F.concat(F.lit("p"), "p_partkey").alias("node"), F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(".scala:"), "p_size").alias("ref"))
     )
-    return graph.drivers(graph.backward_slice(order_roots(spark, folder), dependencies(spark, folder), 3), refs)
+    roots = order_roots(spark, folder)
+    steps = graph.backward_slice(roots, dependencies(spark, folder), 3)
+    return graph.drivers(graph.require_drivers(roots, steps), refs)
+
+
+@query("D03_hier_slice_short", GR + WALK.format(dep="dep", depth=2) + "SELECT root, node, CAST(depth AS INTEGER) AS depth, via, parent, truncated FROM slice")
+def d03s(spark, folder):
+    return graph.backward_slice(order_roots(spark, folder), dependencies(spark, folder), 2)
 
 
 @query("F17_module_closure", """

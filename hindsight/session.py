@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "hindsight", master: str | None = None, **conf) -> SparkSession:
@@ -42,6 +43,42 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+class Bucketed:
+    """A table in the shared folder that is dealt out by ``keys`` once, so that joins and sums by them need no shuffle.
+
+    It has as many buckets as the session has shuffle partitions, which is what the other side of a join is dealt into.
+    Rows may be appended, each time under the next number of ``step``. ``drop`` takes the name out of the catalogue; the
+    files stay with the other copies of the application, and what ``rows`` returned goes on reading them.
+    """
+
+    def __init__(self, spark: SparkSession, keys: list[str]):
+        self.spark, self.keys, self.steps = spark, keys, 0
+        self.path, self.name = own_folder(spark), f"bucketed_{uuid.uuid4().hex}"
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def append(self, df: DataFrame) -> int:
+        """Add the rows of the next step; how many they are."""
+        seen = Observation()
+        counted = df.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn("step", F.lit(self.steps))
+        writer = counted.write.mode("append").format("parquet").option("path", self.path)
+        writer.partitionBy("step").bucketBy(self.buckets, *self.keys).saveAsTable(self.name)
+        self.steps += 1
+        return seen.get["rows"]
+
+    def table(self, step: int | None = None) -> DataFrame:
+        """All rows, or those of one step; for joins by the keys."""
+        rows = self.spark.table(self.name)
+        return (rows if step is None else rows.where(F.col("step") == step)).drop("step")
+
+    def rows(self) -> DataFrame:
+        """All rows, independent of the catalogue."""
+        schema = self.spark.table(self.name).schema
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read on from there.
 
