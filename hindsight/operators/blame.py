@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -78,15 +78,15 @@ def _arrivals(fan: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def _merge(state: DataFrame, more: DataFrame) -> DataFrame:
-    both = state.unionByName(more)
+    both = state.unionByName(more.withColumn("done", F.lit(False)))
     same = lambda fn, *cs: [fn(c).alias(c) for c in cs]
     return both.groupBy(*STATE).agg(
-        *same(F.sum, "n_ok", "n_null"), *same(F.max, "v0", "v1", "v2", "ok0", "ok1", "ok2"), *same(F.bit_and, "all_and"),
+        *same(F.sum, "n_ok", "n_null"), *same(F.max, "v0", "v1", "v2", "ok0", "ok1", "ok2", "done"), *same(F.bit_and, "all_and"),
         *same(F.bit_or, "all_or", "joined"), *same(F.bit_xor, "all_xor"), *same(F.try_sum, "total"),
     )
 
 
-def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame) -> DataFrame:
+def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame, large: int = 1_000_000) -> DataFrame:
     """(node, value, reason) for traced nodes, gates and everything they read.
 
     ``reason`` says why a value is NULL: ``unknown`` (it or what it needs is not recorded),
@@ -95,17 +95,19 @@ def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame) -> DataFr
     A traced value wins. Registers and undefined names without one stay NULL, NULL
     propagates, a mux only needs its selector and the arm taken, and what never settles
     is a loop and NULL. Each round hands only newly settled values to the gates that read
-    them, and what is delivered or belongs to a settled gate is left out of the next round;
-    a gate is a fixed-size state that merges what arrives, however many inputs it has.
+    them, in one job; a gate is a fixed-size state that merges what arrives, however many
+    inputs it has. Where there are more than ``large`` inputs, those delivered and those of
+    settled gates go each time the gates that wait have halved.
     """
     held = F.when(F.col("value") < F.lit(str(1 << HELD)).cast("decimal(20,0)"), F.col("value")).cast("long").alias("value")
     known = traced.where("value IS NOT NULL").select("node", held)
     known = known.select("*", F.when(F.col("value").isNull(), "wide").alias("reason"))
     stateless = gates.where("op <> 'reg'").join(known, "node", "left_anti")
     sizes = operands.groupBy("node").agg(F.count("*").alias("n"))
-    fan = cut_lineage(
-        operands.join(stateless, "node").join(sizes, "node").select(*STATE, "pos", "operand", "shift", "operand_width")
-    )
+    inputs = Observation()
+    fan = operands.join(stateless, "node").join(sizes, "node").select(*STATE, "pos", "operand", "shift", "operand_width")
+    fan = cut_lineage(fan.observe(inputs, F.count(F.lit(1)).alias("rows")))
+    rows = inputs.get["rows"]
     read = fan.select(F.col("operand").alias("node")).unionByName(gates.select("node")).distinct()
     gated = fan.select("node").distinct()
     unknown = read.join(known, "node", "left_anti").join(gated, "node", "left_anti")
@@ -116,20 +118,25 @@ def evaluate(gates: DataFrame, operands: DataFrame, traced: DataFrame) -> DataFr
         (F.col("n_null") > 0) | (F.col("n_ok") == F.col("n"))
     )
     value = F.when(mux, F.when(F.col("v0").isNotNull(), arm("v1", "v2"))).otherwise(_result(F.col("op")))
-    state, waiting = None, gated.count()
-    while True:
+    waiting = halved = gated.count()
+    state = None
+    while waiting:
         more = _arrivals(fan, fresh.select("node", "value"))
-        merged = _merge(state, more) if state is not None else more
-        judged = cut_lineage(merged.withColumn("fresh", ready).withColumn("value", value.cast("long")))
-        delivered = fresh.select(F.col("node").alias("operand"))
+        merged = _merge(state, more) if state is not None else more.withColumn("done", F.lit(False))
+        news = Observation()
+        judged = merged.withColumn("fresh", ~F.col("done") & ready).withColumn("value", value.cast("long"))
+        judged = cut_lineage(judged.observe(news, F.count_if(F.col("fresh")).alias("rows")))
         why = F.when(F.col("value").isNull(), F.when(F.col("width") > HELD, "wide").otherwise("unknown")).alias("reason")
         fresh = judged.where("fresh").select("node", "value", why)
-        settled, news = settled.unionByName(fresh), fresh.count()
-        waiting -= news
-        if not news or not waiting:
+        if not news.get["rows"]:
             break
-        state = judged.where("NOT fresh").drop("fresh", "value")
-        fan = cut_lineage(fan.join(delivered, "operand", "left_anti").join(fresh.select("node"), "node", "left_anti"))
+        settled, waiting = settled.unionByName(fresh), waiting - news.get["rows"]
+        state = judged.withColumn("done", F.col("done") | F.col("fresh")).drop("fresh", "value")
+        if rows > large and 2 * waiting < halved:
+            halved = waiting
+            done = settled.select("node")
+            left = fan.join(done, "node", "left_anti").join(done.join(fresh.select("node"), "node", "left_anti").withColumnRenamed("node", "operand"), "operand", "left_anti")
+            fan, state = cut_lineage(left), state.where("NOT done")
     looped = gated.join(settled.select("node"), "node", "left_anti")
     return settled.unionByName(looped.select("node", F.lit(None).cast("long").alias("value"), F.lit("loop").alias("reason")))
 

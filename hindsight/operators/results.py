@@ -29,10 +29,15 @@ def char_budget(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], line: str, head: str,
     max_chars: int, span: int, max_width: int = 120,
 ) -> DataFrame:
-    """The longest run of leading lines that fits ``max_chars`` under a header."""
+    """The longest run of leading lines that fits ``max_chars`` under a header.
+
+    A line counts and shows with its first ``max_width`` characters, as ``shown``; the line itself stays as it is, and
+    ``cut`` says whether the two differ.
+    """
     text = F.substring(F.col(line), 1, max_width)
     cost = (F.length(text) + 1).cast("long")
-    sized = running(df.withColumn(line, text), keys, order, span, total={"used": cost})
+    wide = df.select("*", text.alias("shown"), (F.length(F.col(line)) > max_width).alias("cut"))
+    sized = running(wide, keys, order, span, total={"used": cost})
     whole = df.groupBy(*keys).agg(F.sum(F.length(text) + 1).alias("_all"))
     room = max_chars - len(head) - 1
     return (

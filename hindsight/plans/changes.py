@@ -17,6 +17,7 @@ from hindsight.operators.ordered import position
 from hindsight.plans.registry import query, table
 from hindsight.session import own_folder
 from hindsight.sources import changes, dump
+from hindsight.sources.keyframes import KeyframeStore
 
 CORE, TILE, TILE_SCOPES = "top.core", "top.tile", ("lsu",)
 HOUR = 3_600_000_000
@@ -336,6 +337,32 @@ def b04(spark, folder):
     return asof.state_at(stored(spark, folder), signal(spark, folder), CUT)
 
 
+EVERY = 100
+
+
+def framed(spark, folder) -> KeyframeStore:
+    """The recorded log with a keyframe each hundred cycles, stored in two goes."""
+    store, log = KeyframeStore(spark, own_folder(spark), EVERY), stored(spark, folder).drop("raw")
+    store.write(log.where(F.col("cycle") < 2 * EVERY))
+    store.extend(log.where(F.col("cycle") >= 2 * EVERY))
+    return store
+
+
+@query("A03_keyframes", SQL + f"""
+, e AS (SELECT unnest(range(1, (SELECT max(cycle) // {EVERY} + 2 FROM wave)))::BIGINT AS epoch),
+k AS (SELECT DISTINCT run_id, signal_id, cycle, seq FROM wave)
+SELECT run_id, signal_id, epoch, arg_max(cycle, seq) AS cycle, max(seq) AS seq FROM k JOIN e ON cycle < epoch * {EVERY} GROUP BY ALL
+""")
+def a03_keyframes(spark, folder):
+    frames = framed(spark, folder).keyframes()
+    return frames.select("run_id", "signal_id", F.col("epoch").cast("long").alias("epoch"), "cycle", "seq")
+
+
+@query("B04_state_from_keyframe", SQL + KEPT)
+def b04_keyframe(spark, folder):
+    return asof.state_at(framed(spark, folder).upto(CUT), signal(spark, folder), CUT)
+
+
 @query("B05_changed_only", SQL + KEPT + "WHERE last_change = 360")
 def b05(spark, folder):
     return asof.changed_at(stored(spark, folder), signal(spark, folder), CUT)
@@ -367,6 +394,16 @@ def b08(spark, folder):
     return asof.trace(stored(spark, folder), signal(spark, folder), 200, 500)
 
 
+@query("B08_trace_from_keyframe", SQL + """
+, e AS (SELECT run_id, path, arg_max(cycle, seq) AS cycle, arg_max("time", seq) AS "time", arg_max(vs, seq) AS b
+         FROM stored WHERE cycle <= 200 GROUP BY ALL)
+SELECT run_id, path, cycle, "time", b.v AS value, b.s AS value_str, TRUE AS entering FROM e
+UNION ALL SELECT run_id, path, cycle, "time", value, value_str, FALSE FROM stored WHERE cycle > 200 AND cycle <= 500
+""")
+def b08_keyframe(spark, folder):
+    return asof.trace(framed(spark, folder).between(200, 500), signal(spark, folder), 200, 500)
+
+
 @query("B09_commits_near", SQL + """
 , anchors AS (SELECT DISTINCT run_id, cycle AS at FROM wave WHERE event_type = 'error' AND bit = 1)
 SELECT a.run_id, a.at, c.cseq AS seq, c.cycle, printf('0x%x', c.pc) AS pc, printf('0x%x', c.insn) AS insn,
@@ -431,15 +468,16 @@ def b15(spark, folder):
 
 
 @query("B16_char_budget", SQL + """
-, l AS (SELECT run_id, seq, substr(signal_id || ' | ' || cycle || ' | ' || value, 1, 120) AS line FROM wave),
-u AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY run_id ORDER BY seq) AS used,
-             sum(length(line) + 1) OVER (PARTITION BY run_id) AS total FROM l)
-SELECT run_id, seq, line, total - 1 > 2000 - 24 AS truncated FROM u WHERE used <= 2000 - 24 OR total - 1 <= 2000 - 24
+, l0 AS (SELECT run_id, seq, signal_id || ' | ' || cycle || ' | ' || value || CASE WHEN seq % 5 = 0 THEN repeat(' .', 60) ELSE '' END AS line FROM wave),
+l AS (SELECT *, substr(line, 1, 120) AS shown, length(line) > 120 AS cut FROM l0),
+u AS (SELECT *, sum(length(shown) + 1) OVER (PARTITION BY run_id ORDER BY seq) AS used,
+             sum(length(shown) + 1) OVER (PARTITION BY run_id) AS total FROM l)
+SELECT run_id, seq, line, shown, cut, total - 1 > 2000 - 24 AS truncated FROM u WHERE used <= 2000 - 24 OR total - 1 <= 2000 - 24
 """)
 def b16(spark, folder):
     head = "signal | cycle | value "
     lines = wave(spark, folder).select(
-        "run_id", "seq", F.concat_ws(" | ", "signal_id", "cycle", "value").alias("line")
+        "run_id", "seq", F.concat(F.concat_ws(" | ", "signal_id", "cycle", "value"), F.when(F.col("seq") % 5 == 0, " ." * 60).otherwise("")).alias("line")
     )
     return results.char_budget(lines, ["run_id"], ["seq"], "line", head, 2000, 1 << 20).drop("used")
 

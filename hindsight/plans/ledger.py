@@ -425,11 +425,11 @@ def g23(spark, folder):
 
 
 @query("G23_arm_coverage", SQL + """
-, a AS (SELECT l_partkey AS task, count(DISTINCT arm) AS arms FROM led WHERE verdict = 'fixed' AND coalesce(stop <> 'error', TRUE) AND queries > 40 GROUP BY 1)
+, a AS (SELECT l_partkey AS task, count(DISTINCT arm) AS arms FROM led WHERE coalesce(verdict <> 'lost', TRUE) AND coalesce(stop <> 'error', TRUE) GROUP BY 1)
 SELECT coalesce(arms, 0) AS arms, count(*) AS tasks FROM part LEFT JOIN a ON task = p_partkey GROUP BY 1
 """)
 def g23b(spark, folder):
-    rows = ledger(spark, folder).withColumn("task", F.col("l_partkey")).where("verdict = 'fixed' AND queries > 40")
+    rows = ledger(spark, folder).withColumn("task", F.col("l_partkey"))
     return study.arm_coverage(table(spark, folder, "part").select(F.col("p_partkey").alias("task")), rows)
 
 

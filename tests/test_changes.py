@@ -268,3 +268,50 @@ def test_ranges_of_rows_split_a_dense_run(spark, frame):
     finally:
         spark.conf.unset(setting)
     assert len(chunks) > 1 and max(r["count"] for r in chunks) < 6000
+
+
+def plain_state(rows, cycle):
+    newest = {}
+    for run, sig, at, value, seq in rows:
+        if at <= cycle and newest.get((run, sig), (0, 0, -1))[2] < seq:
+            newest[run, sig] = at, value, seq
+    return {k: v[:2] for k, v in newest.items()}
+
+
+def test_keyframes_answer_like_the_log(spark, frame, tmp_path):
+    import random
+
+    from hindsight.sources.keyframes import KeyframeStore
+
+    rng = random.Random(2)
+    rows = sorted({(r, s, rng.randrange(200)) for r in (1, 2) for s in range(6) for _ in range(rng.choice([0, 1, 3, 30]))}, key=lambda x: x[2])
+    rows += [(3, 9, 5)]
+    rows = [(r, s, c, rng.randrange(9), i) for i, (r, s, c) in enumerate(rows)]
+    schema = "run_id long, signal_id long, cycle long, value long, seq long"
+    log = frame(schema, *rows)
+    signal = frame("run_id long, signal_id long, path string, scope string, name string", *{(r, s, f"{r}.{s}", f"{r}", f"{s}") for r, s, *_ in rows})
+    store = KeyframeStore(spark, str(tmp_path / "s"), 16)
+    store.write(log.where("cycle < 48"))
+    store.extend(log.where("cycle >= 48 and cycle < 64"))
+    store.extend(log.where("cycle >= 64"))
+    for cycle in (0, 15, 16, 47, 48, 63, 64, 130, 199, 5000):
+        got = {tuple(map(int, r.path.split("."))): (r.last_change, r.value) for r in asof.state_at(store.upto(cycle), signal, cycle).collect()}
+        assert got == plain_state(rows, cycle), cycle
+    for lo, hi in ((10, 20), (40, 130), (300, 400)):
+        assert bag(asof.trace(store.between(lo, hi).withColumn("time", F.col("cycle")), signal, lo, hi)) == bag(asof.trace(log.withColumn("time", F.col("cycle")), signal, lo, hi))
+    with pytest.raises(ValueError):
+        store.extend(log.where("cycle < 64"))
+    store.extend(log.where("cycle > 1000"))
+
+
+def test_late_questions_read_no_more(spark, frame, tmp_path, capsys):
+    from hindsight.sources.keyframes import KeyframeStore
+
+    log = spark.range(20_000).selectExpr("1L as run_id", "id % 5 as signal_id", "id as cycle", "id as value", "id as seq")
+    store = KeyframeStore(spark, str(tmp_path / "s"), 1000)
+    store.write(log)
+    for cycle in (1999, 9999, 18_999):
+        short = store.upto(cycle)
+        assert short.count() <= 1000 + 5
+        short.explain("formatted")
+        assert capsys.readouterr().out.count("PartitionFilters: [isnotnull(epoch") == 2

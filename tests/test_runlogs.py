@@ -555,3 +555,57 @@ def test_a_file_of_many_sites(frame):
     got = sites.constant_sites(frame("path string, text string", ("big", text))).agg(F.count("*"), F.max("line"), F.max("start"), F.sum("col"), F.max("context")).first()
     assert tuple(got) == (100_000, 100_000, text.rfind("+"), sum(f"  a{i} := b + 1.U".index("+") + 1 for i in range(100_000)), "a99999 := b + 1.U")
     assert time.monotonic() - t0 < 60
+
+
+def plain_slice(roots, dep, depth):
+    """(root, node, depth, via, parent, truncated), breadth first."""
+    out = []
+    for root, node in roots:
+        seen, frontier = {node: (0, "root", None)}, [node]
+        for d in range(1, depth + 1):
+            reached = {}
+            for p in frontier:
+                for _, operand, via in (e for e in dep if e[0] == p):
+                    if operand not in seen:
+                        reached[operand] = min(reached.get(operand, (p, via)), (p, via))
+            seen |= {n: (d, via, p) for n, (p, via) in reached.items()}
+            frontier = list(reached)
+        more = any(e[0] == p and e[1] not in seen for p in frontier for e in dep)
+        out += [(root, n, *x, more) for n, x in seen.items()]
+    return sorted(out, key=order)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 8])
+@pytest.mark.parametrize("hot", [1_000_000, 2])
+def test_slices_like_a_loop(frame, depth, hot):
+    """Also where a hub's operands are dealt to several tasks, on cycles and where depth ends the walk."""
+    rng = random.Random(depth)
+    names = [f"n{i}" for i in range(25)]
+    dep = sorted({(rng.choice(names), rng.choice(names[:9] if rng.random() < 0.5 else names), rng.choice(["data", "control"])) for _ in range(45)})
+    roots = [(f"r{i}", rng.choice(names)) for i in range(12)] + [("lone", "nothing")]
+    got = graph.backward_slice(frame("root string, node string", *roots), frame("node string, operand string, via string", *dep), depth, hot=hot)
+    assert bag(got, "root", "node", "depth", "via", "parent", "truncated") == plain_slice(roots, dep, depth)
+    capped = graph.cap_nodes(got, 4)
+    flags = {r.root: r.truncated for r in capped.collect()}
+    sizes = {}
+    for root, *_, more in plain_slice(roots, dep, depth):
+        sizes[root] = (sizes.get(root, (0, False))[0] + 1, more)
+    assert flags == {root: n > 4 or more for root, (n, more) in sizes.items()}
+
+
+def test_buckets_are_read_without_a_shuffle(spark, frame, capsys):
+    from hindsight.session import Bucketed
+
+    table = Bucketed(spark, ["k"])
+    assert table.append(frame("k long, v long", *[(i % 7, i) for i in range(50)])) == 50
+    assert table.append(frame("k long, v long", (1, 100))) == 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame("k long, w long", (1, 2)).join(table.table(), "k").explain()
+        assert capsys.readouterr().out.count("Exchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert bag(table.table(1)) == [(1, 100)]
+    rows = table.rows()
+    table.drop()
+    assert rows.count() == 51 and not spark.catalog.tableExists(table.name)
