@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,76 +50,60 @@ def char_budget(
     )
 
 
-# functions that reach outside the tables, and the table functions a question may use
-OUTSIDE = {"reflect", "java_method", "try_reflect"}
-GENERATORS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack"}
-CATALYST = "org.apache.spark.sql.catalyst"
+# what no question needs: files as tables, names made of text, functions that call into the JVM
+REFUSED = {
+    r"\b\w+\s*\.\s*`[^`]*[/:][^`]*`": "files are no tables here",
+    r"\bidentifier\s*\(": "names must stand as they are",
+    r"\b(reflect|try_reflect|java_method)\s*\(": "this function is not for questions",
+}
 
 
-def _sequence(items) -> list:
-    return [items.apply(i) for i in range(items.size())]
+def _bare(text: str) -> str:
+    """The text without comments and quoted strings, in lower case."""
+    return re.sub(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"", " ", text, flags=re.DOTALL).lower()
 
 
-def _class(spark: SparkSession, name: str):
-    return spark._jvm.org.apache.spark.util.Utils.classForName(f"{CATALYST}.{name}", True, False)
+def as_question(text: str) -> str:
+    """``text`` as a subquery, which no command can be; ValueError for what is refused."""
+    bare = _bare(text)
+    for pattern, why in REFUSED.items():
+        if re.search(pattern, bare):
+            raise ValueError(why)
+    if ";" in bare.rstrip().removesuffix(";"):
+        raise ValueError("one question at a time")
+    if bare.rstrip().endswith(";"):
+        text = text[: text.rindex(";")]
+    return f"SELECT * FROM (\n{text}\n) AS question"
 
 
-def _nodes(spark: SparkSession, root) -> list:
-    """Every plan node and expression below a parsed plan, subqueries and named queries included."""
-    is_plan, has_plan = _class(spark, "plans.QueryPlan"), _class(spark, "expressions.PlanExpression")
-    found, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        found.append(node)
-        todo += _sequence(node.children())
-        if is_plan.isInstance(node):
-            todo += _sequence(node.expressions())
-        if has_plan.isInstance(node):
-            todo.append(node.plan())
-        if node.getClass().getSimpleName() == "UnresolvedWith":
-            todo += _sequence(node.innerChildren())
-    return found
-
-
-def parsed_question(spark: SparkSession, text: str, names: Sequence[str]) -> None:
-    """Raise ValueError unless Spark parses ``text`` as one query over ``names`` alone.
-
-    Commands, files as tables, tables that were not named and functions that call into the
-    JVM are refused by what the plan holds, whatever words the text has.
-    """
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    except Exception as wrong:
-        raise ValueError(f"not a query: {str(wrong).splitlines()[0]}") from wrong
-    nodes = _nodes(spark, plan)
-    kinds = [_class(spark, f"plans.logical.{k}") for k in ("Command", "ParsedStatement")]
-    inner = {n.alias().lower() for n in nodes if n.getClass().getSimpleName() == "SubqueryAlias"}
-    known = {n.lower() for n in names} | inner
-    for node in nodes:
-        kind = node.getClass().getSimpleName()
-        if any(k.isInstance(node) for k in kinds):
-            raise ValueError("this would change something; only questions are answered")
-        if kind == "UnresolvedRelation":
-            parts = _sequence(node.multipartIdentifier())
-            if len(parts) > 1 or parts[0].lower() not in known:
-                raise ValueError(f"no such table here: {'.'.join(parts)}")
-        if kind == "UnresolvedFunction" and _sequence(node.nameParts())[-1].lower() in OUTSIDE:
-            raise ValueError("this function is not for questions")
-        if kind == "UnresolvedTableValuedFunction" and _sequence(node.name())[-1].lower() not in GENERATORS:
-            raise ValueError("this table function is not for questions")
+def _foreign(spark: SparkSession, text: str, names: set[str]) -> None:
+    """ValueError where a question names a table of the session that it was not given."""
+    bare = _bare(text)
+    others = {t.name.lower() for t in spark.catalog.listTables()} - names
+    bases = {d.name.lower() for d in spark.catalog.listDatabases()} | {c.name.lower() for c in spark.catalog.listCatalogs()} - names
+    for name in others:
+        if re.search(rf"(?<![\w.]){re.escape(name)}(?!\w)", bare):
+            raise ValueError(f"no such table here: {name}")
+    for name in bases:
+        if re.search(rf"(?<![\w.])`?{re.escape(name)}`?\s*\.", bare):
+            raise ValueError(f"no other database here: {name}")
 
 
 def read_only_sql(spark: SparkSession, views: Mapping[str, DataFrame], text: str, limit: int | None = None) -> DataFrame:
     """A question over the named tables; with a ``limit``, its first rows and whether there were more.
 
-    The names hold while the question is resolved; views the session had under them stand again after.
+    The question runs as a subquery over temporary views, so commands do not parse. Views the session had under the
+    names stand again after. What does not parse or resolve is a ValueError.
     """
-    parsed_question(spark, text, list(views))
-    had = {t.name.lower(): spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name.lower() in {v.lower() for v in views}}
+    wrapped, names = as_question(text), {v.lower() for v in views}
+    _foreign(spark, text, names)
+    had = {t.name.lower(): spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name.lower() in names}
     try:
         for name, df in views.items():
             df.createOrReplaceTempView(name)
-        out = spark.sql(text)
+        out = spark.sql(wrapped)
+    except (AnalysisException, ParseException) as wrong:
+        raise ValueError(f"not a question: {str(wrong).splitlines()[0]}") from wrong
     finally:
         for name in views:
             if name.lower() in had:

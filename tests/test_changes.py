@@ -132,18 +132,26 @@ def test_empty_scope_selection_is_an_error(store):
     "SELECT 1; SELECT 2", "SELECT * FROM other", "SELECT * FROM parquet.`/tmp/x`", "SELECT reflect('java.lang.System', 'exit', 1) FROM wave", "not a query",
     "WITH a AS (SELECT * FROM other) SELECT * FROM a", "SELECT (SELECT max(x) FROM other) FROM wave", "SELECT * FROM wave WHERE EXISTS (SELECT java_method('a', 'b') FROM wave)",
     "SHOW TABLES", "SET a = 1", "FROM wave INSERT INTO x SELECT *", "SELECT * FROM wave JOIN csv.`/etc/passwd`",
+    "SELECT 1) UNION ALL SELECT x FROM other --", "SELECT * FROM IDENTIFIER('other')", "SELECT * FROM wave; DROP TABLE other; --'",
 ])
-def test_guard_rejects(spark, text):
-    with pytest.raises(ValueError):
-        results.parsed_question(spark, text, ["wave"])
+def test_guard_rejects(spark, frame, text):
+    frame("x long", 1).createOrReplaceTempView("other")
+    frame("x long", 1).write.mode("overwrite").saveAsTable("stored_other")
+    try:
+        for asked in (text, text.replace("other", "stored_other"), text.replace("other", "default.stored_other"), text.replace("other", "missing")):
+            with pytest.raises(ValueError):
+                results.read_only_sql(spark, {"wave": frame("x long", 2)}, asked)
+        assert spark.table("other").count() == spark.table("stored_other").count() == 1
+    finally:
+        spark.catalog.dropTempView("other"), spark.sql("DROP TABLE stored_other")
 
 
 @pytest.mark.parametrize("text", [
     "SELECT 'drop table x' AS insert FROM wave;", "-- comment\nWITH a AS (SELECT * FROM Wave) SELECT * FROM a WHERE x IN (SELECT x FROM a)",
     "(SELECT 1 FROM wave) UNION ALL VALUES (2)", "SELECT id FROM range(3)", "SELECT e FROM wave LATERAL VIEW explode(array(1, 2)) t AS e",
 ])
-def test_guard_accepts(spark, text):
-    results.parsed_question(spark, text, ["wave"])
+def test_guard_accepts(spark, frame, text):
+    assert results.read_only_sql(spark, {"wave": frame("x long", 2)}, text).count() > 0
 
 
 def test_question_with_limit(frame, spark):
