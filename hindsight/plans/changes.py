@@ -16,7 +16,7 @@ from hindsight.operators import asof, discover, results
 from hindsight.operators.ordered import position
 from hindsight.plans.registry import query, table
 from hindsight.session import own_folder
-from hindsight.sources import changes, dump
+from hindsight.sources import changes, dump, lines
 from hindsight.sources.keyframes import KeyframeStore
 
 CORE, TILE, TILE_SCOPES = "top.core", "top.tile", ("lsu",)
@@ -176,21 +176,37 @@ SELECT run_id, 's' || signal_id AS symbol, "time",
        CASE WHEN event_type = 'error' THEN bit ELSE value END AS value, 2 * seq + 1 AS seq FROM wave
 """)
 def a05(spark, folder):
+    return dump.parse_dump(dump_lines(spark, folder), 1 << 20).select(
+        "run_id", "symbol", "time", F.col("value").cast("long").alias("value"), "seq"
+    )
+
+
+def dump_lines(spark, folder) -> DataFrame:
     b = base(spark, folder)
     mark = F.concat(F.lit("#"), F.col("time"))
     body = F.when(F.col("event_type") == "error", F.concat(F.col("bit"), F.lit("s"), F.col("signal_id"))).otherwise(
         F.concat(F.lit("b"), F.bin("value"), F.lit(" s"), F.col("signal_id"))
     )
-    lines = b.select(
+    return b.select(
         "run_id",
         F.inline(F.array(
             F.struct((F.col("seq") * 2).alias("line_no"), mark.alias("text")),
             F.struct((F.col("seq") * 2 + 1).alias("line_no"), body.alias("text")),
         )),
     )
-    return dump.parse_dump(lines, 1 << 20).select(
-        "run_id", "symbol", "time", F.col("value").cast("long").alias("value"), "seq"
-    )
+
+
+@query("A05_dump_files", SQL + """
+SELECT run_id, 's' || signal_id AS symbol, "time", CASE WHEN event_type = 'error' THEN bit ELSE value END AS value,
+       2 * row_number() OVER (PARTITION BY run_id ORDER BY seq) AS seq FROM wave
+""")
+def a05_files(spark, folder):
+    """The same dumps as text files, one for each run."""
+    path = own_folder(spark)
+    told = dump_lines(spark, folder).repartition("run_id").sortWithinPartitions("run_id", "line_no").select("run_id", "text")
+    told.write.partitionBy("run_id").text(path)
+    numbered = lines.read_lines(spark, path).withColumn("run_id", F.regexp_extract("file", r"run_id=(\d+)/", 1).cast("long"))
+    return dump.parse_dump(numbered.drop("file"), 1 << 20).select("run_id", "symbol", "time", F.col("value").cast("long").alias("value"), "seq")
 
 
 @query("A06_scope_select", SQL + """
