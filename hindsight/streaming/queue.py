@@ -1,38 +1,65 @@
-"""Keeping a verification queue current while proposals and verdicts still arrive."""
+"""Keeping a verification queue current while proposals, verdicts and tasks still arrive."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-
-from hindsight.operators.sites import verify_queue
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 CELL = ("task", "arm", "seed")
 
+#: What is kept of a task: whether it is known, its cells that wait with their rows, its cells that are done with.
+_STATE = "known boolean, waiting string, closed string"
+
+
+def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of a task that join the queue now that these have arrived, whatever order they came in."""
+    known, waiting, closed = state.get if state.exists else (False, "{}", "[]")
+    waiting, closed = json.loads(waiting), set(json.loads(closed))
+    for frame in frames:
+        known = known or bool((frame["kind"] == "task").any())
+        closed.update(frame.loc[frame["kind"] == "verdict", "cell"])
+        asked = frame[frame["kind"] == "proposal"]
+        for cell, row in zip(asked["cell"], asked["row"], strict=True):
+            waiting.setdefault(cell, row)
+    waiting = {cell: row for cell, row in waiting.items() if cell not in closed}
+    ready, left = (waiting, {}) if known else ({}, waiting)
+    state.update((bool(known), json.dumps(left), json.dumps(sorted(closed | set(ready)))))
+    yield pd.DataFrame({"row": list(ready.values())}, dtype=str)
+
+
+def arrivals(proposals: DataFrame, verdicts: DataFrame, tasks: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
+    """All three as rows of one stream: (task, kind, cell, row)."""
+    task = F.col(cell[0]).cast("string").alias("task")
+    named = F.to_json(F.struct(*cell)).alias("cell")
+    none = F.lit(None).cast("string")
+    return (
+        proposals.select(task, F.lit("proposal").alias("kind"), named, F.to_json(F.struct(*proposals.columns)).alias("row"))
+        .unionByName(verdicts.select(task, F.lit("verdict").alias("kind"), named, none.alias("row")))
+        .unionByName(tasks.select(task, F.lit("task").alias("kind"), none.alias("cell"), none.alias("row")))
+    )
+
 
 def follow_queue(
-    spark: SparkSession, proposals: str, schema: str, verified: str, verified_schema: str, tasks: DataFrame,
+    spark: SparkSession, proposals: str, schema: str, verified: str, verified_schema: str, tasks: str,
     out: str, checkpoint: str, cell: Sequence[str] = CELL,
 ) -> StreamingQuery:
-    """Append each newly arrived proposal that has no verdict and whose task is known.
+    """Append each proposal that has no verdict once its task is known, a cell at most once.
 
-    ``proposals`` and ``verified`` are folders of JSON lines. Every micro-batch is checked
-    against the verdicts present at that moment. Proposals whose task is not known yet are
-    kept beside the queue and come up again with the next batch. A batch writes its own
-    folders, so one that is run again after a failure replaces itself.
+    ``proposals``, ``verified`` and ``tasks`` are folders of JSON lines that grow. What waits for its task is state of the
+    task, which the checkpoint carries over restarts; a batch touches only tasks of which something arrived. A verdict
+    that arrives no later than what releases a proposal keeps it out of the queue.
     """
-    waiting = f"{out.rstrip('/')}-waiting"
-    arriving = spark.readStream.schema(schema).json(proposals)
-
-    def take(batch: DataFrame, number: int) -> None:
-        done = spark.read.schema(verified_schema).json(verified)
-        if number:
-            batch = batch.unionByName(spark.read.schema(schema).json(f"{waiting}/batch={number - 1}"))
-        verify_queue(batch, done, tasks, cell).write.mode("overwrite").json(f"{out}/batch={number}")
-        batch.join(tasks.select("task"), "task", "left_anti").write.mode("overwrite").json(f"{waiting}/batch={number}")
+    def stream(path: str, of: str) -> DataFrame:
+        return spark.readStream.schema(of).json(path)
 
-    return (
-        arriving.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    key = spark.createDataFrame([], schema).select(cell[0]).schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    all_ = arrivals(stream(proposals, schema), stream(verified, verified_schema), stream(tasks, key), cell)
+    queued = all_.groupBy("task").applyInPandasWithState(_advance, "row string", _STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = queued.select(F.from_json("row", schema).alias("r")).select("r.*")
+    return rows.writeStream.format("json").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

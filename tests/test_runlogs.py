@@ -429,21 +429,36 @@ def test_bootstrap_of_nothing(frame):
     assert bootstrap_ci(frame("g int, task int, v double"), ["g"], "task", ["v"], reps=100).collect() == []
 
 
-def test_follow_queue(spark, tmp_path, frame):
+def test_follow_queue(spark, tmp_path):
+    """Each step is a restart: late tasks, late verdicts, cells proposed again."""
     import json
 
     from hindsight.streaming.queue import follow_queue
 
-    (tmp_path / "p").mkdir(), (tmp_path / "v").mkdir()
-    cells = [{"task": t, "arm": "x", "seed": s} for t in ("a", "b") for s in (1, 2)]
-    (tmp_path / "p" / "1.json").write_text("\n".join(map(json.dumps, cells)))
-    (tmp_path / "v" / "1.json").write_text(json.dumps(cells[0]))
-    schema = "task string, arm string, seed long"
-    q = follow_queue(
-        spark, str(tmp_path / "p"), schema, str(tmp_path / "v"), schema, frame("task string", "a"), str(tmp_path / "o"), str(tmp_path / "c")
-    )
-    q.awaitTermination()
-    assert bag(spark.read.schema(schema).json(str(tmp_path / "o") + "/batch=*"), "task", "seed") == [("a", 2)]
+    schema = "task string, arm string, seed long, note string"
+    folders = {n: tmp_path / n for n in ("proposals", "verified", "tasks")}
+    for folder in folders.values():
+        folder.mkdir()
+
+    def step(number, **arrived):
+        for name, rows in arrived.items():
+            (folders[name] / f"{number}.json").write_text("\n".join(map(json.dumps, rows)))
+        query = follow_queue(
+            spark, str(folders["proposals"]), schema, str(folders["verified"]), "task string, arm string, seed long", str(folders["tasks"]),
+            str(tmp_path / "o"), str(tmp_path / "c"),
+        )
+        query.awaitTermination()
+        return bag(spark.read.schema(schema).json(str(tmp_path / "o")), "task", "seed")
+
+    cell = lambda task, seed, **more: {"task": task, "arm": "x", "seed": seed} | more
+    wanted = [cell(t, s, note=f"{t}{s}") for t in ("a", "b") for s in (1, 2)]
+    assert step(1, proposals=wanted, verified=[cell("a", 1)], tasks=[{"task": "a"}]) == [("a", 2)]
+    # a task that comes late releases what waited, but for the cell that has a verdict by now
+    assert step(2, verified=[cell("b", 1)], tasks=[{"task": "b"}]) == [("a", 2), ("b", 2)]
+    # a verdict after the fact changes nothing, and no cell is queued twice
+    assert step(3, verified=[cell("a", 2)], proposals=[cell("a", 2, note="again"), cell("a", 3), cell("c", 1)]) == [("a", 2), ("a", 3), ("b", 2)]
+    assert step(4, tasks=[{"task": "c"}]) == [("a", 2), ("a", 3), ("b", 2), ("c", 1)]
+    assert step(5) == [("a", 2), ("a", 3), ("b", 2), ("c", 1)]
 
 
 def test_blame_fields_and_scores(frame):
@@ -521,9 +536,8 @@ def test_queue_retries_what_waited(spark, frame, tmp_path):
     frame(schema, ("t1", "a", 1, "p"), ("t2", "a", 1, "q")).coalesce(1).write.mode("append").json(folder["in"])
 
     def follow():
-        tasks = spark.read.schema("task string").json(folder["tasks"])
-        queue.follow_queue(spark, folder["in"], schema, folder["done"], schema, tasks, folder["out"], folder["check"]).awaitTermination()
-        return bag(spark.read.schema(schema).json(f"{folder['out']}/*"), "task", "patch")
+        queue.follow_queue(spark, folder["in"], schema, folder["done"], schema, folder["tasks"], folder["out"], folder["check"]).awaitTermination()
+        return bag(spark.read.schema(schema).json(folder["out"]), "task", "patch")
 
     assert follow() == [("t1", "p")]
     frame("task string", "t2").write.mode("append").json(folder["tasks"])
