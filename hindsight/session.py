@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -88,5 +90,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = own_folder(spark)
+    for noted in _NOTED:
+        noted.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Where ``cut_lineage`` notes its folders, if anywhere.
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted_copies() -> Iterator[list[str]]:
+    """The folders that ``cut_lineage`` writes inside, for ``remove_copies``."""
+    _NOTED.append([])
+    try:
+        yield _NOTED[-1]
+    finally:
+        _NOTED.pop()
+
+
+def remove_copies(spark: SparkSession, folders: list[str]) -> None:
+    """Remove written copies; only for when whatever was made of them is stored elsewhere."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
