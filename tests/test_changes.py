@@ -323,3 +323,18 @@ def test_late_questions_read_no_more(spark, frame, tmp_path, capsys):
         assert short.count() <= 1000 + 5
         short.explain("formatted")
         assert capsys.readouterr().out.count("PartitionFilters: [isnotnull(epoch") == 2
+
+
+def test_noted_copies_can_be_removed(spark, frame):
+    import os
+
+    from hindsight.session import cut_lineage, noted_copies, remove_copies
+
+    with noted_copies() as outer:
+        kept = cut_lineage(frame("a long", 1))
+        with noted_copies() as inner:
+            gone = cut_lineage(frame("a long", 2))
+    later = cut_lineage(frame("a long", 3))
+    assert len(outer) == 2 and len(inner) == 1 and gone.count() == 1
+    remove_copies(spark, inner)
+    assert not os.path.exists(inner[0].removeprefix("file:")) and kept.count() == later.count() == 1
