@@ -67,8 +67,9 @@ SPAN = "struct<start: int, stop: int, hit: string>"
 
 def _positions(hits: str, pieces: str) -> str:
     """Spans of the ``hits`` that stand between the ``pieces`` of a text; offsets run in blocks of ``BLOCK`` hits."""
-    steps = f"transform({hits}, (x, i) -> struct(length({pieces}[i]) as gap, length(x) as len, x as hit))"
-    blocks = f"transform(sequence(0, (size({hits}) - 1) div {BLOCK}), c -> slice({steps}, c * {BLOCK} + 1, {BLOCK}))"
+    # both arrays are arguments and so made once; inside a lambda they would be made again for each hit
+    steps = f"slice(zip_with({pieces}, {hits}, (p, x) -> struct(length(p) as gap, length(x) as len, x as hit)), 1, size({hits}))"
+    blocks = f"transform(array({steps}), s -> transform(sequence(0, (size(s) - 1) div {BLOCK}), c -> slice(s, c * {BLOCK} + 1, {BLOCK})))[0]"
     sums = "transform(b, c -> aggregate(c, 0, (a, x) -> a + x.gap + x.len))"
     offsets = f"aggregate({sums}, array(0), (a, x) -> array_append(a, element_at(a, -1) + x))"
     run = (

@@ -102,3 +102,15 @@ def test_redaction(frame):
 def test_empty(no_docs):
     assert pii.with_spans(no_docs).collect() == []
     assert order((None,)) == ((True, 0),)
+
+
+def test_a_text_full_of_spans(spark):
+    """Work grows with the text, not with text times spans."""
+    import time
+
+    text = " ".join(f"word {i} user{i}@example.com" for i in range(10_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    t0 = time.monotonic()
+    row = pii.find_spans(docs).select(F.size("base").alias("n"), F.element_at("base", -1)["stop"].alias("stop")).first()
+    assert (row.n, row.stop) == (10_000, len(text))
+    assert time.monotonic() - t0 < 90
