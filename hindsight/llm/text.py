@@ -7,6 +7,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hindsight.session import cut_lineage
+
 
 def whole(text: str) -> Column:
     """The text, with null read as empty."""
@@ -19,18 +21,20 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """The rows of ``docs`` that ``kept`` names by ``keys``, one for each row named, with the columns of ``docs``.
+def keep_rows(docs: DataFrame, decided: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of ``docs`` that ``decided`` (a row for each of ``docs``, with ``kept``) keeps, with the columns of ``docs``.
 
-    ``keys`` maps columns of ``kept`` to what they equal in ``docs``; nulls equal nulls.
-    Of rows of ``docs`` that agree in all keys, one stays.
+    ``keys`` maps columns of ``decided`` to what they equal in ``docs``; nulls equal nulls. Of rows that agree in all keys one
+    stays if any does. Rows stay where they are: only the keys of which not every row stays are written, and meet the rows in a join
+    that broadcasts them if they are few.
     """
-    from pyspark.sql import Window
-
     own = [f"__key_{i}" for i in range(len(keys))]
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[c.alias(o) for o, c in zip(own, keys.values(), strict=True)])
-    right = kept.select(*[F.col(k).alias(f"{o}_r") for o, k in zip(own, keys, strict=True)])
-    on = [left[o].eqNullSafe(right[f"{o}_r"]) for o in own]
-    joined = left.join(right, on, "left_semi")
-    first = Window.partitionBy(*own).orderBy(F.lit(0))
-    return joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("__row.*")
+    told = decided.groupBy(*[F.col(k).alias(o) for o, k in zip(own, keys, strict=True)]).agg(F.max("kept").alias("__kept"), F.count(F.lit(1)).alias("__n"))
+    told = cut_lineage(told.where("NOT __kept OR __n > 1"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[c.alias(o) for o, c in zip(own, keys.values(), strict=True)])
+
+    def those(how: str, of: DataFrame) -> DataFrame:
+        return rows.join(of, [rows[o].eqNullSafe(of[o]) for o in own], how)
+
+    once = those("left_semi", told.where("__kept")).groupBy(*own).agg(F.first("__row").alias("__row"))
+    return those("left_anti", told).select("__row.*").unionByName(once.select("__row.*"))
