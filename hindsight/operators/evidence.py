@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hindsight.operators.ordered import first_n
-from hindsight.session import cut_lineage
+from hindsight.session import by_rows, cut_counted, cut_lineage
 
 #: Lines of a slice unless another number is asked for.
 MAX_SLICE = 200
@@ -65,13 +65,13 @@ def grep(
     sized = hits.join(sizes(lines), FILE)
     lo = F.greatest(F.lit(base), F.col("match") - context)
     hi = F.least(F.col("lines") - 1 + base, F.col("match") + context)
-    spans = cut_lineage(sized.select(*FILE, "match", lo.alias("lo"), hi.alias("hi")))
+    spans, matches = cut_counted(sized.select(*FILE, "match", lo.alias("lo"), hi.alias("hi")))
     totals = spans.groupBy(*keys).agg((F.sum(F.col("hi") - F.col("lo") + 1) > limit).alias("truncated"))
     leading = first_n(spans, keys, [F.col(c) for c in order], limit).drop("rank")
     asked = leading.select(*FILE, "match", F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int"))).alias("line_no"))
-    shown = asked.join(lines, [*FILE, "line_no"])
+    shown = by_rows(asked, matches * (2 * context + 1)).join(lines, [*FILE, "line_no"])
     kept = first_n(shown, keys, [F.col(c) for c in (*order, "line_no")], limit)
-    return kept.join(totals, keys).select(*FILE, "match", "line_no", "text", "truncated")
+    return kept.join(by_rows(totals, matches), keys).select(*FILE, "match", "line_no", "text", "truncated")
 
 
 def list_files(lines: DataFrame, pattern: str = "") -> DataFrame:
