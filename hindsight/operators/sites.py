@@ -83,7 +83,8 @@ def _sites(found: DataFrame, texts: DataFrame, rule: Column) -> DataFrame:
     lines = texts.select("path", F.posexplode(F.split("text", "\n", -1)).alias("_at", "_line"))
     lines = lines.select("path", (F.col("_at") + 1).alias("line"), F.btrim("_line", F.lit(BLANK)).alias("context"))
     ruled = found.withColumn("_rule", rule).where(F.col("_rule").isNotNull())
-    return ruled.join(lines, ["path", "line"]).select(
+    # texts may be made of far less than they hold, so that Spark's estimate would have all lines broadcast
+    return ruled.join(lines.hint("merge"), ["path", "line"]).select(
         "path", "start", "end", "before", "_rule.after", "_rule.operator", "_rule.cls", "line", "col", "context"
     )
 

@@ -1,9 +1,10 @@
 """What grows with the input is merged, however small its file is."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from hindsight import session
-from hindsight.operators import blame, evidence, graph
+from hindsight.operators import blame, evidence, graph, sites
 from tests.conftest import bag
 
 
@@ -52,3 +53,10 @@ def test_slices_merge_what_is_many(spark, frame, plans):
     steps = graph.backward_slice(roots, dep, 1)
     assert "BroadcastHashJoin" not in plan(steps)
     assert bag(steps, "root", "depth", "node", "truncated") == sorted([(f"a{i}", 0, f"a{i}", True) for i in range(9)] + [(f"a{i}", 1, f"b{i}", True) for i in range(9)])
+
+
+def test_lines_of_sites_are_not_broadcast(spark):
+    texts = spark.range(20).select(F.concat(F.lit("f"), "id").alias("path"), F.concat(F.lit("a\n b + 1.U\n"), "id").alias("text"))
+    found = sites.constant_sites(texts)
+    assert "BroadcastHashJoin" not in plan(found)
+    assert bag(found, "path", "line", "context") == sorted((f"f{i}", 2, "b + 1.U") for i in range(20))
