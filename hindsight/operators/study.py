@@ -79,13 +79,13 @@ def _mean(col: str) -> Column:
     return (F.sum(col).cast("double") / F.count("*")).alias(col)
 
 
-def paired_summary(pairs: DataFrame, groups: Sequence[str] = (), reps: int = REPS) -> DataFrame:
+def paired_summary(pairs: DataFrame, groups: Sequence[str] = (), reps: int = REPS, drawn: bool = False) -> DataFrame:
     """Mean of both arms and of the per-task difference, with intervals over tasks."""
     if not groups:
-        return paired_summary(pairs.withColumn("_all", F.lit(1)), ["_all"], reps).drop("_all")
+        return paired_summary(pairs.withColumn("_all", F.lit(1)), ["_all"], reps, drawn).drop("_all")
     pairs = cut_lineage(pairs)
     means = pairs.groupBy(*groups).agg(F.count("*").alias("paired"), _mean("a"), _mean("b"), _mean("diff"))
-    ci = bootstrap_ci(pairs, groups, "task", ["a", "b", "diff"], reps)
+    ci = bootstrap_ci(pairs, groups, "task", ["a", "b", "diff"], reps, drawn=drawn)
     return means.join(ci, list(groups))
 
 

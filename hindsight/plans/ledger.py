@@ -69,6 +69,18 @@ sums AS (SELECT d.grp, d.rep, {chosen} FROM drawn d JOIN plain p ON p.grp = d.gr
 """
 
 
+def draws(source: str, group: str, cols: str) -> str:
+    """SQL of the sums of ``source`` (group, task, cols) resampled with replacement."""
+    sums = ", ".join(f"sum(v.{c.strip()}) AS {c.strip()}" for c in cols.split(","))
+    return f"""
+, vals AS (SELECT {group} AS grp, {cols}, row_number() OVER (PARTITION BY {group} ORDER BY task) - 1 AS slot,
+                  count(*) OVER (PARTITION BY {group}) AS n FROM {source}),
+draws AS (SELECT grp, n, r.rep, {mix32_sql('r.rep', 'slot')} % n AS j
+          FROM vals CROSS JOIN (SELECT unnest(range(10000)) AS rep) r),
+sums AS (SELECT d.grp, d.rep, d.n, {sums} FROM draws d JOIN vals v ON v.grp = d.grp AND v.slot = d.j GROUP BY d.grp, d.rep, d.n)
+"""
+
+
 def ends(name: str, stat: str, lo: int = 250, hi: int = 9750) -> str:
     return f"""
 , {name}_r AS (SELECT grp, {stat} AS v, row_number() OVER (PARTITION BY grp ORDER BY {stat}) - 1 AS pos FROM sums),
@@ -205,20 +217,20 @@ def g08b(spark, folder):
 
 @query("G09_bootstrap_ci", """
 WITH pairs AS (SELECT c_nationkey AS nation, c_custkey AS task, CAST(c_acctbal AS DECIMAL(18,2)) AS a FROM customer)
-""" + boot("pairs", "nation", "a") + ends("a", "CAST(a AS DOUBLE) / n") + "SELECT grp AS nation, lo AS a_lo, hi AS a_hi FROM a_e")
+""" + draws("pairs", "nation", "a") + ends("a", "CAST(a AS DOUBLE) / n") + "SELECT grp AS nation, lo AS a_lo, hi AS a_hi FROM a_e")
 def g09(spark, folder):
     c = table(spark, folder, "customer").select(
         F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("task"), F.col("c_acctbal").cast("decimal(18,2)").alias("a")
     )
-    return bootstrap_ci(c, ["nation"], "task", ["a"])
+    return bootstrap_ci(c, ["nation"], "task", ["a"], drawn=True)
 
 
 @query("G10_loc_paired", SQL.replace("cells AS (SELECT task, arm, CAST(count(*) FILTER (verdict = 'fixed') / count(*) AS DECIMAL(18,9)) AS rate, count(*) AS n FROM ep",
     "cells AS (SELECT task, arm, CAST(count(*) FILTER (same_file) / count(*) AS DECIMAL(18,9)) AS rate, count(*) AS n FROM epx")
-    + boot("pairs", "1", "a, b, diff") + SUMMARY)
+    + draws("pairs", "1", "a, b, diff") + SUMMARY)
 def g10(spark, folder):
     rows = described(episodes(spark, folder), spark, folder)
-    return study.paired_summary(study.paired(study.cell_rates(rows, F.col("same_file")), ARMS))
+    return study.paired_summary(study.paired(study.cell_rates(rows, F.col("same_file")), ARMS), drawn=True)
 
 
 @query("G11_token_cost", SQL + """
