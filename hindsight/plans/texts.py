@@ -116,10 +116,12 @@ p AS (SELECT doc_id, run_id, CASE WHEN doc_id % 13 = 5 THEN file || '.gone' ELSE
 
 
 def edits(spark, folder) -> DataFrame:
-    t, k = F.col("text"), F.col("doc_id")
+    t, k, n = F.col("text"), F.col("doc_id"), F.length("text")
+    # from place 0 on SQL counts a character that is not there
+    size = F.when(n == 24, 19).otherwise(20)
     old = (
         F.when(k % 4 == 0, F.substring(t, 5, 30)).when(k % 4 == 1, F.substring(t, 20, 2))
-        .when(k % 4 == 2, F.concat(F.substring(t, 1, 12), F.lit("~~"))).otherwise(F.substring(t, F.length(t) - 24, F.lit(20)))
+        .when(k % 4 == 2, F.concat(F.substring(t, 1, 12), F.lit("~~"))).otherwise(F.substring(t, n - 24, size))
     )
     return texts(spark, folder).select(
         "doc_id", "run_id", F.when(k % 13 == 5, F.concat("file", F.lit(".gone"))).otherwise(F.col("file")).alias("file"),
