@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hindsight.operators.ordered import first_n
-from hindsight.session import by_rows, cut_counted, cut_lineage
+from hindsight.session import by_rows, cut_counted
 
 #: Lines of a slice unless another number is asked for.
 MAX_SLICE = 200
@@ -97,21 +97,22 @@ def _shared(length: Column, q: int, cutoff: float) -> Column:
 
 
 def _rare_grams(rows: DataFrame, text: str, counts: DataFrame | None, q: int, cutoff: float) -> tuple[DataFrame, DataFrame]:
-    """(FILE, text, gram) with enough of each text's rarest grams to meet all partners, and (FILE, gram, n) of ``rows``.
+    """(FILE, id, gram) with enough of each text's rarest grams to meet all partners, and (FILE, gram, n) of ``rows``.
 
-    The n-th time a text holds a gram counts as a gram of its own, so shared grams are counted with repeats.
+    Grams go by the digest of their text (``id``), so what is moved grows with the texts and not with their squares. The n-th time a text holds a gram counts as a gram of its own, so shared grams are counted with repeats.
     """
-    n = F.length(text)
-    every = rows.where(_shared(n, q, cutoff) >= 1).select(*FILE, text, F.explode(F.sequence(F.lit(1), n - q + 1)).alias("_at"))
-    gram = F.substring(F.col(text), F.col("_at"), F.lit(q))
-    held = every.select(*FILE, text, gram.alias("_g")).groupBy(*FILE, text, "_g").agg(F.count("*").alias("_n"))
-    held = held.select(*FILE, text, F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "_n"), lambda i: F.concat_ws(":", i, "_g"))).alias("gram"))
+    n, at = F.col("_len"), [*FILE, "id", "_len"]
+    every = rows.select(*FILE, "id", F.length(text).alias("_len"), text).where(_shared(n, q, cutoff) >= 1)
+    every = every.select(*at, F.col(text).alias("_text"), F.explode(F.sequence(F.lit(1), n - q + 1)).alias("_at"))
+    gram = F.substring(F.col("_text"), F.col("_at"), F.lit(q))
+    held = every.select(*at, gram.alias("_g")).groupBy(*at, "_g").agg(F.count("*").alias("_n"))
+    held = held.select(*at, F.explode(F.transform(F.sequence(F.lit(1).cast("long"), "_n"), lambda i: F.concat_ws(":", i, "_g"))).alias("gram"))
     if counts is None:
-        held = cut_lineage(held)
-        counts = held.groupBy(*FILE, "gram").agg(F.count("*").alias("n"))
-    order = W.partitionBy(*FILE, text).orderBy(F.coalesce("n", F.lit(0)), "gram")
+        held, many = cut_counted(held)
+        counts = by_rows(held.groupBy(*FILE, "gram").agg(F.count("*").alias("n")), many)
+    order = W.partitionBy(*FILE, "id").orderBy(F.coalesce("n", F.lit(0)), "gram")
     ranked = held.join(counts, [*FILE, "gram"], "left").withColumn("_rank", F.row_number().over(order))
-    return ranked.where(F.col("_rank") <= n - q + 1 - _shared(n, q, cutoff) + 1).select(*FILE, text, "gram"), counts
+    return ranked.where(F.col("_rank") <= n - q + 1 - _shared(n, q, cutoff) + 1).select(*FILE, "id", "gram"), counts
 
 
 def nearest_lines(probes: DataFrame, lines: DataFrame, k: int = 2, cutoff: float = 0.5) -> DataFrame:
@@ -128,6 +129,9 @@ def nearest_lines(probes: DataFrame, lines: DataFrame, k: int = 2, cutoff: float
         .groupBy(*FILE, "line").agg(F.min("line_no").alias("line_no"), F.count("*").alias("copies"))
     )
     asked = probes.select(*FILE, "probe").where("probe <> ''").distinct()
+    # lines longer or shorter than any probe of their file can be similar to
+    reached = asked.groupBy(*FILE).agg((F.min(F.length("probe")) * cutoff - 1).alias("_least"), (F.max(F.length("probe")) / cutoff + 1).alias("_most"))
+    distinct = distinct.join(reached, FILE).where(F.length("line").between(F.col("_least"), F.col("_most"))).drop("_least", "_most")
     q = _gram_size(cutoff)
     short = lambda c: _shared(F.length(c), q, cutoff) < 1 if q else F.lit(True)
     reach = math.ceil(math.log2(1 / cutoff))
@@ -136,10 +140,12 @@ def nearest_lines(probes: DataFrame, lines: DataFrame, k: int = 2, cutoff: float
     met = asked.select("*", classes).join(distinct.withColumn("_class", size_class("line")), [*FILE, "_class"]).drop("_class")
     met = met.where(short("line") | short("probe"))
     if q:
-        of_lines, counts = _rare_grams(distinct, "line", None, q, cutoff)
-        of_probes, _ = _rare_grams(asked, "probe", counts, q, cutoff)
-        pairs = of_probes.join(of_lines, [*FILE, "gram"]).select(*FILE, "probe", "line").distinct()
-        met = met.unionByName(pairs.join(distinct, [*FILE, "line"]))
+        lined, probed = (df.withColumn("id", F.unhex(F.md5(c))) for df, c in ((distinct, "line"), (asked, "probe")))
+        of_lines, counts = _rare_grams(lined, "line", None, q, cutoff)
+        of_probes, _ = _rare_grams(probed, "probe", counts, q, cutoff)
+        pairs = of_probes.withColumnRenamed("id", "its").join(of_lines, [*FILE, "gram"]).select(*FILE, "its", "id").distinct()
+        pairs = pairs.join(lined, [*FILE, "id"]).drop("id").join(probed.withColumnRenamed("id", "its"), [*FILE, "its"])
+        met = met.unionByName(pairs.drop("its"))
     longer, shorter = F.greatest(F.length("line"), F.length("probe")), F.least(F.length("line"), F.length("probe"))
     room = F.floor(longer * (1 - cutoff) + 1e-9).cast("int")
     near = met.where(shorter >= longer - room).withColumn("_edits", F.call_function("levenshtein", "line", "probe", room))

@@ -18,7 +18,7 @@ def plans(monkeypatch):
         return write(df)
 
     monkeypatch.setattr(session, "SENT", 2)
-    for module in (session, blame, evidence, graph):
+    for module in (session, blame, graph):
         monkeypatch.setattr(module, "cut_lineage", cut)
     return seen
 
@@ -60,3 +60,15 @@ def test_lines_of_sites_are_not_broadcast(spark):
     found = sites.constant_sites(texts)
     assert "BroadcastHashJoin" not in plan(found)
     assert bag(found, "path", "line", "context") == sorted((f"f{i}", 2, "b + 1.U") for i in range(20))
+
+
+def test_grams_travel_without_their_texts(spark, frame, plans, monkeypatch):
+    seen, write = [], session.cut_lineage
+    monkeypatch.setattr(session, "cut_lineage", lambda df: seen.append(df.columns) or write(df))
+    lines = [("r", "f", i, f"the {i}th line of a file of lines") for i in range(8)] + [("r", "f", 9, "x" * 500), ("r", "f", 10, "")]
+    found = evidence.nearest_lines(
+        frame("run_id string, file string, probe string", ("r", "f", "the 3th line of a fyle of lines")),
+        frame("run_id string, file string, line_no int, text string", *lines), 1, 0.8,
+    )
+    assert bag(found, "line", "line_no") == [("the 3th line of a file of lines", 3)]
+    assert seen and not any({"line", "probe", "text"} & set(columns) for columns in seen)
