@@ -43,21 +43,42 @@ def drop_overlap(rows: DataFrame, overlap: DataFrame, key: str = "task") -> Data
 
 def supersede(rows: DataFrame, keys: Sequence[str], order: str = "eid") -> DataFrame:
     """One row per key: a re-screened one beats any other, then the latest wins."""
-    row = F.max_by(F.struct(*rows.columns), F.struct("rescreen", order))
-    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(row.alias("r")).select("r.*")
+    first = ["rescreen", order]
+    row = F.max(F.struct(*first, *[c for c in rows.columns if c not in first]))  # each column once in what is shuffled
+    return rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(row.alias("r")).select(*[f"r.{c}" for c in rows.columns])
 
 
-def dedupe_episodes(rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """The first row of every episode identity, with how many rows it stood for."""
-    keys = [*extra, *EPISODE]
-    named = rows.withColumn("seed", F.coalesce("seed", F.lit(0)))
-    rest = [c for c in rows.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), "eid")
-    return named.groupBy(*keys).agg(first.alias("r"), F.count("*").alias("copies")).select(*keys, "r.*", "copies")
+def _identified(rows: DataFrame, keep: Sequence[str] | None) -> tuple[DataFrame, list[str], Column]:
+    """``rows`` with a seed, the columns of theirs to ``keep``, and these with ``eid`` as one value whose least is the first row's."""
+    rest = [c for c in rows.columns if c not in EPISODE and (keep is None or c in keep)]
+    row = F.when(F.col("eid").isNotNull(), F.struct("eid", *[c for c in rest if c != "eid"]))
+    return rows.withColumn("seed", F.coalesce("seed", F.lit(0))), rest, row
 
 
-def clean(ledger: DataFrame, overlap: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    return dedupe_episodes(scored(drop_overlap(ledger, overlap)), extra)
+def dedupe_episodes(rows: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """The first row of every episode identity, with how many rows it stood for.
+
+    ``keep`` names the columns wanted beside the identity: the others stay out of the shuffle.
+    """
+    named, rest, row = _identified(rows, keep)
+    found = named.groupBy(*EPISODE).agg(*([F.min(row).alias("r")] if rest else []), F.count("*").alias("copies"))
+    return found.select(*EPISODE, *[f"r.{c}" for c in rest], "copies")
+
+
+def dedupe_stages(rows: DataFrame, stages: int, keep: Sequence[str]) -> DataFrame:
+    """``dedupe_episodes`` over the rows of draws 1..s, for every ``stage`` s up to ``stages``; each row is shuffled once."""
+    named, rest, row = _identified(rows, [c for c in keep if c != "draw"])
+    until = range(1, stages + 1)
+    counts = [F.count_if(F.col("draw") <= s).alias(f"n{s}") for s in until]
+    dealt = named.select(*EPISODE, "draw", row.alias("r")).repartition(*EPISODE)
+    firsts = [F.min(F.when(F.col("draw") <= s, F.col("r"))).alias(f"r{s}") for s in until]
+    found = dealt.groupBy(*EPISODE).agg(*firsts, *counts)
+    each = F.array(*[F.struct(F.lit(s).alias("stage"), F.col(f"r{s}").alias("r"), F.col(f"n{s}").alias("copies")) for s in until])
+    return found.select(*EPISODE, F.inline(each)).where("copies > 0").select("stage", *EPISODE, *[f"r.{c}" for c in rest], "copies")
+
+
+def clean(ledger: DataFrame, overlap: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    return dedupe_episodes(scored(drop_overlap(ledger, overlap)), keep)
 
 
 def cell_rates(rows: DataFrame, flag: Column, groups: Sequence[str] = ()) -> DataFrame:
@@ -209,10 +230,11 @@ def funnel(rows: DataFrame) -> DataFrame:
 
 def trajectory(ledger: DataFrame, overlap: DataFrame, arms: Sequence[str], stages: int, reps: int = REPS) -> DataFrame:
     """The paired difference over the results of stages 1..s, for every stage s."""
-    grown = drop_overlap(ledger, overlap).withColumn("stage", F.explode(F.sequence(F.col("draw"), F.lit(stages))))
-    rows = dedupe_episodes(scored(grown), ["stage"])
-    counts = rows.groupBy("stage").agg(F.count("*").alias("episodes"))
-    pairs = paired(cell_rates(rows, F.col("verdict") == "fixed", ["stage"]), arms, groups=["stage"])
+    rows = dedupe_stages(scored(drop_overlap(ledger, overlap)), stages, ["verdict"])
+    # both are made of sums by task and arm, so that the ledger is read and shuffled once
+    cells = cut_lineage(cell_rates(rows, F.col("verdict") == "fixed", ["stage"]))
+    counts = cells.groupBy("stage").agg(F.sum("n").alias("episodes"))
+    pairs = paired(cells, arms, groups=["stage"])
     return paired_summary(pairs, ["stage"], reps).join(counts, "stage").select(
         "stage", "episodes", "paired", "diff", "diff_lo", "diff_hi"
     )
@@ -223,8 +245,9 @@ def task_table(rows: DataFrame, labels: dict[str, str], span: int, page: int = 6
     label = F.col("verdict")
     for raw, short in labels.items():
         label = F.when(F.col("verdict") == raw, short).otherwise(label)
+    rows = rows.select("task", "arm", "episode", "eid", label.alias("label"))
     at = position(rows, ["task", "arm"], ["episode", "eid"], span, "pos")
-    return paged(at, ["task", "arm"], "pos", label, "verdicts", page)
+    return paged(at, ["task", "arm"], "pos", F.col("label"), "verdicts", page)
 
 
 def localization(named: DataFrame, bugs: DataFrame, statics: DataFrame | None = None) -> DataFrame:

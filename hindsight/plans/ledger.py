@@ -128,8 +128,9 @@ def overlap(spark, folder) -> DataFrame:
     return s.select(F.lit("draw3").alias("tag"), F.col("s_suppkey").alias("id"))
 
 
-def episodes(spark, folder) -> DataFrame:
-    return study.clean(ledger(spark, folder), overlap(spark, folder))
+def episodes(spark, folder, *keep: str) -> DataFrame:
+    """Episodes with the columns of their identity and those to ``keep``."""
+    return study.clean(ledger(spark, folder), overlap(spark, folder), keep)
 
 
 def described(rows: DataFrame, spark, folder) -> DataFrame:
@@ -146,7 +147,7 @@ def described(rows: DataFrame, spark, folder) -> DataFrame:
 
 
 def pairs(spark, folder) -> DataFrame:
-    return study.paired(study.cell_rates(episodes(spark, folder), F.col("verdict") == "fixed"), ARMS)
+    return study.paired(study.cell_rates(episodes(spark, folder, "verdict"), F.col("verdict") == "fixed"), ARMS)
 
 
 @query("G04_scored_rows", SQL + """
@@ -194,12 +195,12 @@ def g06(spark, folder):
 
 @query("G07_episode_dedupe", SQL + "SELECT task, arm, seed, tokens, queries, seconds, eid, copies FROM ep")
 def g07(spark, folder):
-    return episodes(spark, folder).select("task", "arm", "seed", "tokens", "queries", "seconds", "eid", "copies")
+    return episodes(spark, folder, "eid").select("task", "arm", "seed", "tokens", "queries", "seconds", "eid", "copies")
 
 
 @query("G08_cell_rates", SQL + "SELECT task, arm, CAST(rate AS DOUBLE) AS rate, n FROM cells")
 def g08(spark, folder):
-    return study.cell_rates(episodes(spark, folder), F.col("verdict") == "fixed").withColumn("rate", F.col("rate").cast("double"))
+    return study.cell_rates(episodes(spark, folder, "verdict"), F.col("verdict") == "fixed").withColumn("rate", F.col("rate").cast("double"))
 
 
 SUMMARY = mean_ends() + """
@@ -229,7 +230,7 @@ def g09(spark, folder):
     "cells AS (SELECT task, arm, CAST(count(*) FILTER (same_file) / count(*) AS DECIMAL(18,9)) AS rate, count(*) AS n FROM epx")
     + draws("pairs", "1", "a, b, diff") + SUMMARY)
 def g10(spark, folder):
-    rows = described(episodes(spark, folder), spark, folder)
+    rows = described(episodes(spark, folder, "l_partkey"), spark, folder)
     return study.paired_summary(study.paired(study.cell_rates(rows, F.col("same_file")), ARMS), drawn=True)
 
 
@@ -241,7 +242,7 @@ SELECT arm, count(*) AS episodes, count(*) FILTER (verdict = 'fixed') AS fixed,
 FROM ep GROUP BY 1
 """)
 def g11(spark, folder):
-    return study.token_cost(episodes(spark, folder))
+    return study.token_cost(episodes(spark, folder, "verdict"))
 
 
 @query("G12_token_ratio", SQL.replace("pairs AS (SELECT o.task", """tmean AS (
@@ -252,7 +253,7 @@ SELECT count(*) AS tasks, CAST(sum(a) AS DOUBLE) / CAST(sum(b) AS DOUBLE) AS rat
        any_value(r_e.lo) AS ratio_lo, any_value(r_e.hi) AS ratio_hi FROM pairs, r_e
 """)
 def g12(spark, folder):
-    return study.token_ratio(episodes(spark, folder), ARMS)
+    return study.token_ratio(episodes(spark, folder), ARMS)  # identity alone
 
 
 @query("G13_by_kind", SQL + """
@@ -264,7 +265,7 @@ kt AS (SELECT kind, CAST(sum(tokens) FILTER (arm = 'O') AS BIGINT) / count(*) FI
 SELECT kind, tok_a, tok_b, tasks, a, b FROM kt LEFT JOIN kr USING (kind)
 """)
 def g13(spark, folder):
-    return study.by_kind(described(episodes(spark, folder), spark, folder), ARMS)
+    return study.by_kind(described(episodes(spark, folder, "verdict", "l_partkey"), spark, folder), ARMS)
 
 
 # Tool names in the order calls cycle through them.
@@ -291,7 +292,7 @@ SELECT arm, count(*) AS n, count(*) FILTER (verdict <> 'no-proposal') / count(*)
 FROM e JOIN s USING (arm) GROUP BY arm
 """)
 def g14(spark, folder):
-    return study.behaviour(with_calls(episodes(spark, folder)), "why")
+    return study.behaviour(with_calls(episodes(spark, folder, "verdict", "l_partkey")), "why")
 
 
 @query("G15_per_class", SCREEN + """
@@ -305,8 +306,8 @@ SELECT cls, count(*) AS screened, count(*) FILTER (verdict = 'killed') AS killed
 """)
 def g15(spark, folder):
     p = table(spark, folder, "part").select(F.col("p_partkey").alias("task"), F.col("p_type").alias("cls"))
-    screened = study.supersede(screening(spark, folder), ["task"]).join(p, "task")
-    rows = episodes(spark, folder).withColumn("task", F.col("l_partkey"))
+    screened = study.supersede(screening(spark, folder).select("task", "eid", "rescreen", "verdict"), ["task"]).join(p, "task")
+    rows = episodes(spark, folder, "verdict", "l_partkey").withColumn("task", F.col("l_partkey"))
     return study.per_class(rows, screened, ARMS)
 
 
@@ -332,7 +333,7 @@ SELECT dim, key, count(*) AS episodes, count(*) FILTER (verdict <> 'no-proposal'
        count(*) FILTER (same_file AND verdict = 'fixed') AS right_file_fixed FROM d GROUP BY ALL
 """)
 def g17(spark, folder):
-    return study.funnel(described(episodes(spark, folder), spark, folder))
+    return study.funnel(described(episodes(spark, folder, "verdict", "l_partkey"), spark, folder))
 
 
 @query("G18_trajectory", SQL + """
@@ -419,7 +420,7 @@ LABELS = {"fixed": "fixed", "not-fixed": "wrong", "no-proposal": "none", "build-
 SELECT task, arm, (pos - 1) // 64 AS page, string_agg(v, ', ' ORDER BY pos) AS verdicts FROM p GROUP BY ALL
 """)
 def g21(spark, folder):
-    return study.task_table(episodes(spark, folder), LABELS, SPAN)
+    return study.task_table(episodes(spark, folder, "episode", "eid", "verdict"), LABELS, SPAN)
 
 
 @query("G23_integrity_audit", SQL + """
@@ -462,14 +463,15 @@ cost AS (SELECT e.eid, e.model, e.tokens, CAST(round(greatest(0, prompt - cached
 """
 
 
-def costed(spark, folder) -> DataFrame:
-    rows = described(episodes(spark, folder), spark, folder).withColumn("model", F.concat(F.lit("vendor/"), "model"))
+def costed(spark, folder, *keep: str) -> DataFrame:
+    keep = ("l_partkey", "prompt", "cached", "out_tokens", "thought", *keep)
+    rows = described(episodes(spark, folder, *keep), spark, folder).withColumn("model", F.concat(F.lit("vendor/"), "model"))
     return study.episode_cost(rows, prices(spark))
 
 
 @query("G24_episode_cost", COST + "SELECT eid, 'vendor/' || model AS model, micros FROM cost")
 def g24(spark, folder):
-    return costed(spark, folder).select("eid", "model", F.round(F.col("usd") * 1_000_000).cast("long").alias("micros"))
+    return costed(spark, folder, "eid").select("eid", "model", F.round(F.col("usd") * 1_000_000).cast("long").alias("micros"))
 
 
 @query("G25_cost_rollup", COST + """
