@@ -86,12 +86,12 @@ class Codes:
     def __init__(self, common: list[str], complete: bool, seed: int = 0):
         self.common, self.complete, self.seed = common, complete, seed
 
-    def lookup(self) -> Callable[[bytes], int]:
-        seed, complete = self.seed, self.complete
+    def lookup(self, digest: Callable[[bytes, int], int] | None = None) -> Callable[[bytes], int]:
+        seed, complete, digest = self.seed, self.complete, digest or xxh64_intdigest
 
         class Table(dict):
             def __missing__(self, word: bytes) -> int:
-                return 0 if complete else 1 << 62 | xxh64_intdigest(word, seed) >> 2
+                return 0 if complete else 1 << 62 | digest(word, seed) >> 2
 
         table = Table((w.encode(), i + 1) for i, w in enumerate(self.common))
         table[_END] = 0
@@ -100,9 +100,10 @@ class Codes:
 
 def _coded(words: DataFrame, codes) -> DataFrame:
     """``words`` with the number of the column word as ``code``."""
+    digest = xxh64_intdigest  # the one of this process, whatever a task would import
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = codes.value.lookup()
+        code = codes.value.lookup(digest)
         for batch in batches:
             numbers = pa.array([code(w.encode()) for w in batch["word"].to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, numbers], [*batch.schema.names, "code"])
