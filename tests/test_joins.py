@@ -72,3 +72,22 @@ def test_grams_travel_without_their_texts(spark, frame, plans, monkeypatch):
     )
     assert bag(found, "line", "line_no") == [("the 3th line of a file of lines", 3)]
     assert seen and not any({"line", "probe", "text"} & set(columns) for columns in seen)
+
+
+def test_what_is_made_of_chains_is_merged(spark, frame, plans):
+    roots = [f"r{i}" for i in range(9)]
+    rows = [(r, d, f"{r}.n{d}", "x", f"{r}.n{d - 1}" if d else None, 7, 5 - d, "m", "a/f.scala:1", False) for r in roots for d in range(3)]
+    kinds = "root string, depth int, node string, via string, parent string, value bigint, last_change bigint, module string, ref string, truncated boolean"
+    chain = session.cut_lineage(frame(kinds, *rows))
+    digest = blame.chain_digest(chain)
+    assert bag(digest, "root", "depth", "node", "truncated") == sorted((r, d, f"{r}.n{d}", False) for r in roots for d in range(3))
+    reads = frame("node string, mem string", *[(f"{r}.n1", f"{r}.m") for r in roots])
+    hop = frame("root string, mem string, write_cycle bigint, port string", *[(r, f"{r}.m", 3, "W0") for r in roots])
+    below = frame(kinds.replace(", truncated boolean", ", mem string"), *[(r, 0, "w", "root", None, 1, 3, "W", None, f"{r}.m") for r in roots])
+    through = blame.cross_memory(chain, reads, hop, below)
+    assert through.where("via = 'memory' AND depth = 1").count() == through.where("node = 'w' AND depth = 2").count() == 9
+    files = blame.chain_files(chain, frame("root string, file string", *[(r, "f.scala") for r in roots]))
+    assert bag(files, "root", "files", "modules", "hit") == sorted((r, 1, 1, True) for r in roots)
+    capped = graph.cap_nodes(chain.drop("value", "last_change", "module", "ref"), 2)
+    assert bag(capped, "root", "depth", "truncated") == sorted((r, d, True) for r in roots for d in range(2))
+    assert not [p for p in [*plans, *map(plan, (digest, through, files, capped))] if "BroadcastHashJoin" in p]
