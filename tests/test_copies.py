@@ -57,3 +57,14 @@ def test_evaluation_leaves_its_result_alone(spark, tree, large):
     assert [values[f"g{i}"] for i in range(8)] == [(int(i == 5), None) if i < 7 else (None, "unknown") for i in range(8)]
     assert values["top"] == values["sum"] == (None, "unknown") and values["loop"] == (None, "loop") and values["x70"] == (None, "unknown")
     assert len(bag(found)) == len(values) == 16 + 11
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_operands_move_twice_to_those_they_account_for(spark, tree):
+    gates, operands = (session.cut_dealt(t, ["node"]) for t in tree[:2])
+    found = blame.responsible(gates, operands, blame.evaluate(gates, operands, tree[2]))
+    assert exchanges(found) <= 4  # all operands to their values and back, the first of a mux likewise
+    assert bag(found.where("node IN ('g5', 'g0', 'sum')"), "node", "pos") == [("g0", 0), ("g5", 0), ("g5", 1), ("sum", 0), ("sum", 1)]
