@@ -114,3 +114,13 @@ def test_lines_are_dealt_out_by_chunk_once(frame):
     assert bag(netlist.fanin(found), "module", "node", "operand", "via") == sorted(
         (m, *e) for m in ("M", "N") for e in (("q", "a", "control"), ("q", "x", "data"), ("w", "y", "data"))
     )
+
+
+def test_chains_without_values_join_facts_alone(frame):
+    roots = frame("root string, node string", ("r", "a"))
+    edges = frame("node string, operand string, via string", ("a", "b", "data"))
+    facts = frame("node string, module string, ref string, expr string", ("a", "M", "m/f.scala:1", "&"))
+    chain = blame.why(roots, edges, None, None, facts)
+    assert bag(chain, "root", "depth", "node", "value", "last_change", "ref") == [("r", 0, "a", None, None, "m/f.scala:1"), ("r", 1, "b", None, None, None)]
+    named = blame.chain_files(chain, frame("root string, file string", ("r", "f.scala"), ("s", "g.scala")))
+    assert bag(named, "root", "files", "modules", "hit") == [("r", 1, 2, True), ("s", 0, 0, False)]
